@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 
-FENCE = re.compile(r"^[ \t]*(```+|~~~+)[^\n]*\n.*?(?:^[ \t]*\1[`~]*[ \t]*$|\Z)", re.S | re.M)
+_EDGE = r"(?:[ \t]|<[^<>\n]*>)*"  # blanks and tags around a fence
+FENCE = re.compile(rf"^{_EDGE}(```+|~~~+)[^\n]*\n.*?(?:^{_EDGE}\1[`~]*{_EDGE}$|\Z)", re.S | re.M)
 HTML_CODE = re.compile(r"<(pre|code|script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
 INDENTED = re.compile(r"^(?: {4}|\t).*$", re.M)
 INLINE = re.compile(r"`[^`\n]+`")
@@ -12,15 +13,15 @@ TAG = re.compile(r"</?[a-zA-Z][^<>\n]*>")
 LINK = re.compile(r"\b(?:https?://|www\.)\S+", re.I)
 ENTITY = re.compile(r"&(?:[a-z]+|#\d+);", re.I)
 NON_ASCII_LETTERS = re.compile(r"[^\W\d_a-zA-Z]+")
+FOREIGN_WORD = re.compile(r"[a-z]*[^\W\d_a-z][^\W\d_]*")
 WORD = re.compile(r"[a-z]+(?:['’][a-z]+)?")
 SENTENCE = re.compile(r"[a-z`)\]\"'][.!?]+(?=\s|$)")
 
 # English function words that are rare in other languages.
 FUNCTION_WORDS = frozenset(
-    "the of that this these those my your his her its our their each with to and but by then for at so after because "
-    "while until although when before as inside through without near is are was were be been it you he she they we not "
-    "have has had do does did from or if into about there which who what how can could would should will on over under "
-    "here one any some than".split()
+    "the of that this these those my your his her its our their each with and to but by then for at after because while "
+    "until although when before inside through without near is are were be been it you she they not have had does did "
+    "from if into about there which who what how could would should will over under here any some than".split()
 )
 # Words that join clauses; the second set opens a subordinate clause.
 COORDINATING = frozenset("and but or so then yet nor".split())
@@ -63,17 +64,18 @@ def english_lines(text: str) -> tuple[list[str], list[str]]:
     for line in strip_code(text).lower().split("\n"):
         if not line or line.isspace():
             continue
+        dropped = 0
         if not line.isascii():
             # a word with a letter beyond ASCII is no English word and must not fall into parts
             foreign = sum(map(len, NON_ASCII_LETTERS.findall(line)))
             if foreign > len(line) // 4:
                 other += foreign // 4 + 1
                 continue
-            line = re.sub(r"[^\W\d_]*[^\W\d_a-z][^\W\d_]*", " ", line)
+            line, dropped = FOREIGN_WORD.subn(" ", line)
         found = WORD.findall(line)
         if len(found) < LINE_WORDS:
             short.append((line, found))
-        elif sum(map(FUNCTION_WORDS.__contains__, found)) >= ENGLISH_SHARE * len(found):
+        elif sum(map(FUNCTION_WORDS.__contains__, found)) >= ENGLISH_SHARE * (len(found) + dropped):
             lines.append(line)
             words += found
         else:
