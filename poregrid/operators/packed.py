@@ -208,7 +208,7 @@ def learn(fields: DataFrame, lexicon_size: int, literal_prior: float, min_suppor
 
 def unpack(
     df: DataFrame, id_col: str, field_col: str, out: str = "value", lexicon_size: int = LEXICON_SIZE,
-    literal_prior: float = 0.01, min_support: int = 20, min_bond: float = 0.9, max_rounds: int = 4,
+    literal_prior: float = 0.5, min_support: int = 20, min_bond: float = 0.9, max_rounds: int = 4,
 ) -> DataFrame:
     """``id_col, pos, <out>``: a row for each value packed in ``field_col``.
 

@@ -61,8 +61,10 @@ def _ranged(values: DataFrame, window_limit: int) -> DataFrame:
     # A key beyond the limit needs that many rows, so there are at most (distinct values / limit) of them.
     found = Internal.array_binary_search(F.col("cuts"), F.col("value"))
     place = F.when(found < 0, -found - 1).otherwise(found)
-    hot = values.join(F.broadcast(splitters), "key").select("key", "value", "freq", place.cast("int").alias("part"))
-    cold = values.join(F.broadcast(splitters.select("key")), "key", "left_anti").withColumn("part", F.lit(0))
+    named = splitters.withColumnRenamed("key", "hot_key")
+    same = F.col("key").eqNullSafe(F.col("hot_key"))
+    hot = values.join(F.broadcast(named), same).select("key", "value", "freq", place.cast("int").alias("part"))
+    cold = values.join(F.broadcast(named.select("hot_key")), same, "left_anti").withColumn("part", F.lit(0))
     return hot.unionByName(cold)
 
 
@@ -86,9 +88,10 @@ def weighted_percentiles(compressed: DataFrame, percentiles: Sequence[float], wi
     wanted = F.array(*[fn((F.col("n") - 1) * F.lit(float(p))).cast("long") for p in percentiles for _, fn in ranks])
     inside = F.exists(wanted, lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("w")))
     # Only ranges that hold a wanted rank are put in order.
-    needed = offsets.where(inside).select("key", "part", "before", "n")
+    needed = offsets.where(inside).select(F.col("key").alias("own_key"), F.col("part").alias("own_part"), "before", "n")
+    own = F.col("key").eqNullSafe(F.col("own_key")) & (F.col("part") == F.col("own_part"))
     order = Window.partitionBy("key", "part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = parts.join(needed, ["key", "part"]).select(
+    ranked = parts.join(needed, own).select(
         "key", "n", "value", (F.col("before") + F.sum("freq").over(order)).alias("upto"), "freq"
     )
     start = F.col("upto") - F.col("freq")

@@ -50,7 +50,7 @@ def typed(text: Column, value_type: str) -> Column:
     if value_type.startswith("array<"):
         inner = value_type[len("array<"):-1]
         if inner == "string":
-            return F.transform(F.split(text, ","), F.trim)
+            return F.transform(F.split(text, ","), lambda c: F.trim(c))
         return F.transform(numbers(text), lambda v: v.try_cast(inner))
     plain = F.trim(text)
     if value_type == "string":

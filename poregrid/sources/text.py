@@ -27,7 +27,7 @@ def read_tunnels(spark: SparkSession, path: str, folder_level: int = 3, with_md:
     """
     s = 1 if with_md else 0
     raw = _lines(spark, path, folder_level)
-    cells = raw.select("md_label", F.transform(F.split("value", ","), F.trim).alias("c"))
+    cells = raw.select("md_label", F.transform(F.split("value", ","), lambda c: F.trim(c)).alias("c"))
     md = F.col("c")[0] if with_md else F.col("md_label")
     scalars = {"throughput": 3, "cost": 4, "bottleneck_radius": 5, "curvature": 9, "length": 10}
     rows = cells.where(F.col("c")[s + 12].isin(*AXES)).select(
@@ -47,7 +47,7 @@ def read_tunnels(spark: SparkSession, path: str, folder_level: int = 3, with_md:
 def read_bottlenecks(spark: SparkSession, path: str, folder_level: int = 3, with_md: bool = False) -> DataFrame:
     """Bottlenecks: snapshot, cluster, tunnel, throughput, cost, x, y, z, radius and any number of residues; headers are left out."""
     s = 1 if with_md else 0
-    cells = _lines(spark, path, folder_level).select("md_label", F.transform(F.split("value", ","), F.trim).alias("c"))
+    cells = _lines(spark, path, folder_level).select("md_label", F.transform(F.split("value", ","), lambda c: F.trim(c)).alias("c"))
     md = F.col("c")[0] if with_md else F.col("md_label")
     names = ["throughput", "cost", "bx", "by", "bz", "br"]
     return cells.where(F.get(F.col("c"), F.lit(s + 1)).try_cast("int").isNotNull()).select(
