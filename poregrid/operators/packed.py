@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from poregrid.session import materialize
+from poregrid.session import materialize, spread_rows
 
 LEXICON_SIZE = 100_000
 #: Distinct texts a task counts before it hands its counts on.
@@ -222,7 +222,7 @@ def unpack(
     A delimiter inside an unquoted value is recognised only if the two halves stand together in at
     least ``min_bond`` of all their occurrences and ``min_support`` times.
     """
-    source = df.select(F.col(id_col).alias("id"), F.col(field_col).alias("f")).where(F.trim(F.col("f")) != "")
+    source = spread_rows(df.select(F.col(id_col).alias("id"), F.col(field_col).alias("f")).where(F.trim(F.col("f")) != ""))
     fields = source.select("f")
     lexicon = learn(fields, lexicon_size, literal_prior, min_support, min_bond, max_rounds)
     model = df.sparkSession.sparkContext.broadcast(lexicon)

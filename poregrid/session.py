@@ -58,6 +58,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread_rows(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores, for work that takes long over few bytes.
+
+    A scan of a few small files gives fewer tasks than cores; only then are the rows shuffled, and
+    they are few by that very condition. Larger inputs pass through as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
