@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from poregrid.llm.prose import ADVERBIAL, COORDINATING, SENTENCE, SUBORDINATING, english_lines
-from poregrid.session import materialize
+from poregrid.session import materialize, spread_rows
 
 LEVELS = ("basic", "intermediate", "advanced")
 FEATURES = (
@@ -56,7 +56,7 @@ def extract(df: DataFrame, id_col: str, text_col: str, min_words: int = MIN_WORD
                 [batch.column(0), *[pa.array(c, t) for c, t in zip(columns, types)]], [id_col, "n_words", "n_sentences", "n_commas", "words"]
             )
 
-    source = df.select(F.col(id_col), F.col(text_col))
+    source = spread_rows(df.select(F.col(id_col), F.col(text_col)))
     return source.mapInArrow(run, f"`{id_col}` {id_type}, n_words int, n_sentences int, n_commas int, words string")
 
 

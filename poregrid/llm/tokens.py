@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from poregrid.llm.bpe import TOKENIZER_DIR, load_encoder
+from poregrid.session import spread_rows
 
 
 def _source(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), df.schema[id_col].dataType.simpleString()
+    return spread_rows(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))), df.schema[id_col].dataType.simpleString()
 
 
 def encode_column(
