@@ -14,8 +14,9 @@ SNAPSHOTS, OFFSET = 250, 1
 def tunnels(spark: SparkSession, d: str) -> DataFrame:
     """Line items as tunnels; nations (25 rows by definition) are simulations, regions comparison groups."""
     nation = table(spark, d, "nation").join(F.broadcast(table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
-    supplier = table(spark, d, "supplier").join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey"))
-    rows = table(spark, d, "lineitem").join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+    # Line items meet the suppliers first: Spark sees the true sizes of both and picks the join by them.
+    rows = table(spark, d, "lineitem").join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    rows = rows.join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey"))
     return rows.select(
         F.col("n_name").alias("md_label"), F.col("r_name").alias("grp"), (F.col("l_orderkey") % SNAPSHOTS + 1).cast("int").alias("snapshot_id"),
         (F.col("l_partkey") % 40 + 1).cast("int").alias("cluster_id"), ((F.col("l_partkey") % 40 + 1) % 12 + 1).cast("int").alias("sc_id"),

@@ -483,8 +483,9 @@ def _near(spark, d):
     b = B.bottleneck_points(spark, d).select(
         "md_traj", snapshot_number(F.col("snapshot")).alias("frame"), "tunnel_cluster", "tunnel", F.round(F.col("radius") - 0.4, 6).alias("dist")
     )
-    joined = _frames(spark, d).join(b, ["md_traj", "frame"]).select("path_row", "event_type", "frame", "dist", "tunnel_cluster", "tunnel")
-    return traces.nearest_in_frame(joined, ["path_row", "event_type", "frame"], "dist", "tunnel_cluster", "tunnel")
+    # The distance is the tunnel's own here, so the nearest of a frame is found before events multiply the frames.
+    nearest = traces.nearest_in_frame(b, ["md_traj", "frame"], "dist", "tunnel_cluster", "tunnel")
+    return _frames(spark, d).join(nearest, ["md_traj", "frame"]).select("path_row", "event_type", "frame", "dist", "tunnel_cluster", "tunnel")
 
 
 @query(MATCH_SQL + " select path_row, event_type, cast(frame as int) as frame, dist, tunnel_cluster, tunnel from near")
