@@ -89,3 +89,15 @@ def structure_lines(nodes: DataFrame) -> DataFrame:
     number = F.col("node_no").cast("int")
     line = F.format_string("HETATM%5d  H   FIL T%4d    %8.3f%8.3f%8.3f  1.00%6.2f", number, F.col("layer").cast("int"), "x", "y", "z", "radius")
     return nodes.select("entity", "node_no", line.alias("line"))
+
+
+def export_ranked(tunnels: DataFrame, ranks: DataFrame, path: str, overwrite: bool = False) -> None:
+    """Profiles in the format of the tunnel search, clusters renumbered by ``ranks`` (md_label, cluster_id, new_id).
+
+    One folder per simulation; tunnels of unranked clusters are left out.
+    """
+    renumbered = tunnels.join(ranks.select("md_label", "cluster_id", "new_id"), ["md_label", "cluster_id"])
+    lines = profile_lines(renumbered.withColumn("cluster_id", F.col("new_id")).withColumn("sc_id", F.lit(0)))
+    bare = lines.withColumn("line", F.expr("substring(line, instr(line, ',') + 1)"))  # without the leading simulation
+    spread = bare.repartition("md_label", "snapshot").sortWithinPartitions("md_label", "snapshot", "cluster_id", "tunnel_id", "k")
+    spread.select("md_label", "line").write.mode("overwrite" if overwrite else "errorifexists").partitionBy("md_label").text(path)

@@ -133,9 +133,10 @@ class EngineConfig:
 
 
 def read_config(path: str) -> EngineConfig:
-    """Settings from an INI file; values are converted by the type of their default, unknown keys of known sections kept out.
+    """Settings from an INI file; values are converted by the type of their default.
 
-    ``None`` as a value leaves the default. A key that is no setting of any section is an error.
+    ``None`` as a value leaves the default. Keys that are no setting of ``EngineConfig`` are left out, so files
+    written for other versions can be read; a malformed key is an error.
     """
     parser = configparser.ConfigParser()
     parser.read_string(Path(path).read_text())

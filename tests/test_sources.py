@@ -77,3 +77,38 @@ def test_report(spark):
     lines = reports.statistics_report(props, ["top"]).splitlines()
     assert lines[0] == "top" and lines[2].split(",")[0].strip() == "1" and lines[3].endswith("-")
     assert "999.000" in reports.distance_matrix(spark.createDataFrame([(0, 1, 0.25)], "i int, j int, dist double"), ["a", "b", "c"])
+
+
+def test_frames_are_laid_on_the_reference(spark):
+    import numpy as np
+
+    from poregrid.sources.frames import FRAME_SCHEMA, superposed
+
+    rng = np.random.default_rng(1)
+    ca = rng.normal(size=(6, 3)) * 5
+    turn = np.array([[0, -1, 0], [1, 0, 0], [0, 0, 1.0]])
+    rows = [("m", f, k, "CA", "ALA", k, *map(float, turn @ ca[k] + f)) for f in (1, 2) for k in range(6)]
+    got = superposed(spark.createDataFrame(rows, FRAME_SCHEMA), [(k, *map(float, ca[k])) for k in range(6)]).collect()
+    assert len(got) == 12 and all(np.allclose([r.x, r.y, r.z], ca[r.atom_idx], atol=1e-6) for r in got)
+
+
+def test_command_line_and_export(spark, tmp_path, capsys):
+    from poregrid.cli import main
+    from poregrid.operators.profiles import frame_rank
+
+    for md, shift in (("m1", 0.0), ("m2", 0.3)):
+        lines = [HEADER]
+        for snap in range(1, 6):
+            for cl, slope in ((1, 0.2), (2, 4.0)):
+                axes = {"X": [slope * k + shift for k in range(7)], "Y": [0.0] * 7, "Z": [1.0 * k for k in range(7)], "distance": [1.0 * k for k in range(7)], "length": [1.0 * k for k in range(7)], "R": [1.2] * 7}
+                for axis, values in axes.items():
+                    lines.append(f"s.{snap:03d}.pdb, {cl}, 1, 0.{cl}, 0.69, 1.1, -, -, -, 1.2, 9.5, , {axis}, " + ", ".join(map(str, values)))
+        folder(tmp_path, "tunnel_profiles.csv", "\n".join(lines), f"in/{md}/run/analysis")
+    ini = tmp_path / "c.ini"
+    ini.write_text(f"[OUTPUT_SETTINGS]\noutput_path = {tmp_path}/results\n")
+    glob = f"{tmp_path}/in/*/run/analysis/*.csv"
+    assert main([glob, "-c", str(ini), "-o", str(tmp_path / "report.txt")]) == 0
+    assert len((tmp_path / "report.txt").read_text().splitlines()) == 6  # two simulations, two superclusters
+    tunnels = text.read_tunnels(spark, glob)
+    reports.export_ranked(tunnels, frame_rank(tunnels, 5), str(tmp_path / "ranked"))
+    assert text.read_tunnels(spark, f"{tmp_path}/ranked/*/*.txt", folder_level=1).count() == 20
