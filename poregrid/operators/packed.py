@@ -11,6 +11,9 @@ by a unigram model of the values, learned by expectation maximisation from the w
    of a field is a single path, its expected counts are the counts themselves, and no round is needed.
 3. *Viterbi.* The likeliest path of each field gives its values and their positions.
 
+Where the caller says that every unquoted delimiter parts two values (``literals=False``), the lattice
+of a field is that one path, and neither counts nor rounds are needed.
+
 Quoted spans are single atomic edges whatever they hold. Only the most frequent values
 (``lexicon_size``) are sent to the tasks; any other value has the probability of a value seen once.
 """
@@ -209,6 +212,7 @@ def learn(fields: DataFrame, lexicon_size: int, literal_prior: float, min_suppor
 def unpack(
     df: DataFrame, id_col: str, field_col: str, out: str = "value", lexicon_size: int = LEXICON_SIZE,
     literal_prior: float = 0.5, min_support: int = 20, min_bond: float = 0.9, max_rounds: int = 4,
+    literals: bool = True,
 ) -> DataFrame:
     """``id_col, pos, <out>``: a row for each value packed in ``field_col``.
 
@@ -220,11 +224,14 @@ def unpack(
     unpacked once for each time it stands in ``df``; a null id is kept as null.
 
     A delimiter inside an unquoted value is recognised only if the two halves stand together in at
-    least ``min_bond`` of all their occurrences and ``min_support`` times.
+    least ``min_bond`` of all their occurrences and ``min_support`` times. These are counted over rows,
+    so copies of one field can bind its values; with ``literals`` false every unquoted delimiter parts.
     """
     source = spread_rows(df.select(F.col(id_col).alias("id"), F.col(field_col).alias("f")).where(F.trim(F.col("f")) != ""))
-    fields = source.select("f")
-    lexicon = learn(fields, lexicon_size, literal_prior, min_support, min_bond, max_rounds)
+    if literals:
+        lexicon = learn(source.select("f"), lexicon_size, literal_prior, min_support, min_bond, max_rounds)
+    else:
+        lexicon = Lexicon({}, 0.0, set(), literal_prior)
     model = df.sparkSession.sparkContext.broadcast(lexicon)
     id_type = df.schema[id_col].dataType
 

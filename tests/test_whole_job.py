@@ -4,6 +4,8 @@ import glob
 import os
 
 import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 import __spark_entry__ as entry
@@ -22,3 +24,16 @@ def test_all_ordered_pairs_of_path_sets(spark, data_dir, name):
     part = entry.queries()[name](spark, data_dir)
     own = sorted(map(tuple, got.where("entity = 0 and target between 1 and 4").select(part.columns).collect()))
     assert own == sorted(map(tuple, part.collect()))
+
+
+@pytest.mark.parametrize("name", ["p5_found", "residue_frequency", "residue_top"])
+def test_copies_of_a_field_do_not_bind_its_residues(spark, data_dir, tmp_path, name):
+    rows = pq.read_table(f"{data_dir}/bottlenecks.parquet")
+    fields = ["221_C|150_B,48_B;111_A; 47_B" if i % 3 == 0 else f for i, f in enumerate(rows["bottleneck_residues"].to_pylist())]
+    at = rows.column_names.index("bottleneck_residues")
+    pq.write_table(rows.set_column(at, "bottleneck_residues", pa.array(fields, pa.string())), tmp_path / "bottlenecks.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view bottlenecks as select * from '{tmp_path}/bottlenecks.parquet'")
+    got = entry.queries()[name](spark, str(tmp_path))
+    want = con.sql(entry.oracle_sql()[name]).df()[got.columns]
+    assert sorted(map(tuple, got.collect())) == sorted(want.itertuples(index=False, name=None))
