@@ -610,7 +610,7 @@ def linkage_superclusters(spark, d):
 
 @query()
 def pathset_distance(spark, d):
-    """Distances of the path sets that are not far apart."""
+    """Distances of all pairs of path sets."""
     from poregrid.plans.pipeline import superclusters_of
 
     return superclusters_of(tunnel_points(spark, d))[1]

@@ -9,6 +9,7 @@ import pyarrow.parquet as pq
 import pytest
 
 import __spark_entry__ as entry
+from poregrid.plans.pipeline import superclusters_of
 
 
 @pytest.mark.parametrize("name", ["layer_band_join", "rmsf_distance", "nearest_node", "buriedness_depth"])
@@ -37,3 +38,13 @@ def test_copies_of_a_field_do_not_bind_its_residues(spark, data_dir, tmp_path, n
     got = entry.queries()[name](spark, str(tmp_path))
     want = con.sql(entry.oracle_sql()[name]).df()[got.columns]
     assert sorted(map(tuple, got.collect())) == sorted(want.itertuples(index=False, name=None))
+
+
+def test_path_sets_that_point_apart_have_a_distance(spark):
+    rows = [(cl, "p", k, sign * k * 0.2, 0.0, k * 0.3 * sign, float(k), 1.0, k == 4) for cl, sign in ((1, 1), (2, -1)) for k in range(5)]
+    points = spark.createDataFrame(rows, "cl int, path string, ord int, x double, y double, z double, dist double, radius double, is_end boolean")
+    for exact, pairs, clusters in ((True, 1, 1), (False, 0, 2)):
+        labels, near = superclusters_of(points, ["cl"], exact=exact)
+        assert near.count() == pairs and labels.select("sc_id").distinct().count() == clusters
+    default = superclusters_of(points, ["cl"])[1].collect()
+    assert [(r.i, r.j) for r in default] == [(0, 1)] and default[0].dist < 2
