@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -577,9 +578,11 @@ def tunnel_points(spark, d):
     w = core._wide_profiles(spark, d, [a for a in core._catalog(spark, d) if a.required])
     arrays = {"x": "sphere_x", "y": "sphere_y", "z": "sphere_z", "dist": "sphere_distance", "radius": "sphere_r"}
     whole = w.where(F.col("tunnel_cluster") > 0).withColumn("path", F.concat_ws("-", "snapshot_no", "tunnel"))
-    zipped = whole.select("md_traj", "tunnel_cluster", "path", F.posexplode(F.arrays_zip(*arrays.values())).alias("ord", "s"), F.size("sphere_x").alias("n"))
-    p = zipped.select("md_traj", "tunnel_cluster", "path", "ord", *[F.col(f"s.{v}").alias(k) for k, v in arrays.items()], ((F.col("ord") == F.col("n") - 1) & (F.col("n") > 1)).alias("is_end"))
-    return p.dropna(subset=list(arrays))
+    # Spheres that lack a number go first; the last one that remains is the end of its tunnel.
+    complete = F.filter(F.arrays_zip(*arrays.values()), lambda s: reduce(lambda a, b: a & b, [s[v].isNotNull() & ~F.isnan(s[v]) for v in arrays.values()]))
+    kept = whole.select("md_traj", "tunnel_cluster", "path", complete.alias("spheres"))
+    zipped = kept.select("md_traj", "tunnel_cluster", "path", F.posexplode("spheres").alias("ord", "s"), F.size("spheres").alias("n"))
+    return zipped.select("md_traj", "tunnel_cluster", "path", "ord", *[F.col(f"s.{v}").alias(k) for k, v in arrays.items()], ((F.col("ord") == F.col("n") - 1) & (F.col("n") > 1)).alias("is_end"))
 
 
 @query()

@@ -9,6 +9,7 @@ import pyarrow.parquet as pq
 import pytest
 
 import __spark_entry__ as entry
+from poregrid import domain_queries
 from poregrid.plans.pipeline import superclusters_of
 
 
@@ -48,3 +49,14 @@ def test_path_sets_that_point_apart_have_a_distance(spark):
         assert near.count() == pairs and labels.select("sc_id").distinct().count() == clusters
     default = superclusters_of(points, ["cl"])[1].collect()
     assert [(r.i, r.j) for r in default] == [(0, 1)] and default[0].dist < 2
+
+
+def test_a_tunnel_whose_last_cell_is_missing_still_ends(spark, data_dir, tmp_path):
+    cells = {"X": "0,1,2,3", "Y": "0,0,0,0", "Z": "0,1,2,3", "distance": "0,2,4,-", "length": "0,2,4,6", "R": "1,1,1,1", "Upper limit R overestimation": "-,-,-,-"}
+    lines = pq.read_table(f"{data_dir}/tunnel_profiles.parquet")
+    row = {c: None for c in lines.column_names} | {"md_traj": "m", "snapshot": "stripped_system.000001.pdb", "tunnel_cluster": 1, "tunnel": 1}
+    made = [row | {"line_id": k, "axis": a, "axis_values": v} for k, (a, v) in enumerate(cells.items())]
+    pq.write_table(pa.Table.from_pylist(made, schema=lines.schema), tmp_path / "tunnel_profiles.parquet")
+    pq.write_table(pq.read_table(f"{data_dir}/axis_catalog.parquet"), tmp_path / "axis_catalog.parquet")
+    got = domain_queries.tunnel_points(spark, str(tmp_path)).orderBy("ord").collect()
+    assert [(r.x, r.is_end) for r in got] == [(0.0, False), (1.0, False), (2.0, True)]
