@@ -4,12 +4,15 @@ import glob
 import os
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
 import __spark_entry__ as entry
 from poregrid import domain_queries
+from poregrid.kernels import cluster
+from poregrid.operators.layering import cluster_layer
 from poregrid.plans.pipeline import superclusters_of
 
 
@@ -60,3 +63,25 @@ def test_a_tunnel_whose_last_cell_is_missing_still_ends(spark, data_dir, tmp_pat
     pq.write_table(pq.read_table(f"{data_dir}/axis_catalog.parquet"), tmp_path / "axis_catalog.parquet")
     got = domain_queries.tunnel_points(spark, str(tmp_path)).orderBy("ord").collect()
     assert [(r.x, r.is_end) for r in got] == [(0.0, False), (1.0, False), (2.0, True)]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_weighted_kernels_equal_those_on_points(seed):
+    rng = np.random.default_rng(seed)
+    places = np.vstack([rng.normal(c, 0.5, (25, 3)) for c in (0, 7)] + [rng.uniform(-9, 15, (8, 3))])
+    weight = rng.integers(1, 5, len(places))
+    points, at = np.repeat(places, weight, axis=0), np.repeat(np.arange(len(places)), weight)
+    got = cluster.density_clusters(places, 12, 6, weight)
+    assert got.max() == 1 and (got[at] == cluster.density_clusters(points, 12, 6)).all()
+    one = cluster.flat_clusters(len(places), cluster.linkage(cluster.square_distances(places), "average", weight), 2.0)
+    all_points = cluster.flat_clusters(len(points), cluster.linkage(cluster.square_distances(points), "average"), 2.0)
+    assert len({*zip(one[at].tolist(), all_points.tolist())}) == len(set(one.tolist())) == len(set(all_points.tolist()))
+    assert cluster.quantile(places[:, 0], weight, 0.9) == pytest.approx(np.quantile(points[:, 0], 0.9))
+
+
+def test_a_tight_bunch_of_many_points_is_a_node():
+    rng = np.random.default_rng(2)
+    xyz = np.vstack([rng.normal(0, 0.8, (60, 3)), [[12.0, 0, 0], [12.4, 0, 0]]])
+    weight = np.r_[np.ones(60), 400.0, 300.0]  # two full cells
+    labels = cluster_layer(xyz, np.ones(62), weight, False, 1.5)
+    assert labels[60] == labels[61] == 1 and (labels[:60] != 1).all()
