@@ -36,10 +36,11 @@ def cells_of(points: DataFrame, dims: int, distance: float) -> DataFrame:
 
 
 def nodes_of(celled: DataFrame, dims: int) -> DataFrame:
-    """A node per occupied cell: its smallest id, that row's point, and the number of rows."""
+    """A node per occupied cell: its smallest id, that row's point, the mean of its rows (``a0, a1, ...``), and their number."""
     axes = [f"c{i}" for i in range(dims)]
     first = F.min(F.struct(F.col("rid").alias("node"), *[f"x{i}" for i in range(dims)]))
-    return celled.groupBy("grp", *axes).agg(first.alias("f"), F.count(F.lit(1)).alias("mass")).select("grp", *axes, "f.*", "mass")
+    means = [F.avg(f"x{i}").alias(f"a{i}") for i in range(dims)]
+    return celled.groupBy("grp", *axes).agg(first.alias("f"), *means, F.count(F.lit(1)).alias("mass")).select("grp", *axes, "f.*", *[f"a{i}" for i in range(dims)], "mass")
 
 
 def links(nodes: DataFrame, dims: int, distance: float) -> DataFrame:
@@ -129,22 +130,26 @@ class PointClusters:
 
     def members(self) -> DataFrame:
         """``group, id_col, first_id``: each row with the smallest id of its cluster."""
+        named = self._with_cells(self.cells.select("grp", *self.axes, "first_id", "mass"))
+        return named.select(F.col("grp").alias(self.group), F.col("rid").alias(self.id_col), "first_id")
+
+    def _with_cells(self, cells: DataFrame) -> DataFrame:
+        """Every row with the columns of its cell; the few cells with most rows are broadcast."""
         total = self.nodes.agg(F.coalesce(F.sum("mass"), F.lit(0))).first()[0]
-        named = self.cells.select("grp", *self.axes, "first_id", "mass")
-        hot = named.where(F.col("mass") > HOT_SHARE * total).drop("mass")
-        cold = named.where(F.col("mass") <= HOT_SHARE * total).drop("mass")
+        hot = cells.where(F.col("mass") > HOT_SHARE * total).drop("mass")
+        cold = cells.where(F.col("mass") <= HOT_SHARE * total).drop("mass")
         key = ["grp", *self.axes]
         in_hot = self.rows.join(F.broadcast(hot), key)
-        in_cold = self.rows.join(F.broadcast(hot.drop("first_id")), key, "left_anti").join(cold, key)
-        out = [F.col("grp").alias(self.group), F.col("rid").alias(self.id_col), "first_id"]
-        return in_hot.select(*out).unionByName(in_cold.select(*out))
+        in_cold = self.rows.join(F.broadcast(hot.select(*key)), key, "left_anti").join(cold, key)
+        return in_hot.unionByName(in_cold)
 
     def describe(self, typical: int = 3) -> DataFrame:
         """One row per cluster: ``group, first_id, size, span, centre_*, typical_ids``.
 
-        ``typical_ids`` are the representatives of the cells that take most flow from all cells of
-        the cluster (weights of their links summed), strongest first, ties by id. ``span`` is the
-        diagonal of the box around the cells' representatives.
+        ``typical_ids`` are rows of the cells that take most flow from all cells of the cluster (weights
+        of their links summed), strongest cell first, within a cell the nearest to the cluster's centre,
+        ties by id; fewer than ``typical`` only if the cluster has fewer rows. ``span`` is the diagonal of
+        the box around the cells' representatives.
         """
         column = Window.partitionBy("col")
         share = self.links.join(self.nodes.select(F.col("node").alias("col"), F.col("mass").alias("own")), "col").select(
@@ -152,8 +157,12 @@ class PointClusters:
         )
         taken = self.cells.join(share.groupBy(F.col("row").alias("node")).agg(F.round(F.sum("f"), 6).alias("flow")), "node")
         box = sum((F.max(f"x{i}") - F.min(f"x{i}")) ** 2 for i in range(len(self.axes)))
-        centre = [(F.sum(F.col(f"x{i}") * F.col("mass")) / F.sum("mass")).alias(f"centre_{i}") for i in range(len(self.axes))]
+        centre = [(F.sum(F.col(f"a{i}") * F.col("mass")) / F.sum("mass")).alias(f"centre_{i}") for i in range(len(self.axes))]
         shape = self.cells.groupBy("first_id").agg(F.first("grp").alias(self.group), F.sum("mass").alias("size"), F.sqrt(box).alias("span"), *centre)
-        best = top_items(taken, ["first_id"], typical, [("flow", True), ("node", False)])
-        ids = best.groupBy("first_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank_no", "node"))), lambda s: s.node).alias("typical_ids"))
+        centres = shape.select("first_id", *[F.col(f"centre_{i}").alias(f"m{i}") for i in range(len(self.axes))])
+        ranked = taken.join(centres, "first_id").select("grp", *self.axes, "first_id", "flow", "mass", *[f"m{i}" for i in range(len(self.axes))])
+        # Each row at its cell's strength; a heap of the best rows of each cluster is all that is shuffled of a hot cell.
+        far = sum((F.col(f"x{i}") - F.col(f"m{i}")) ** 2 for i in range(len(self.axes)))
+        best = top_items(self._with_cells(ranked).withColumn("far", F.round(far, 9)), ["first_id"], typical, [("flow", True), ("far", False), ("rid", False)])
+        ids = best.groupBy("first_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank_no", "rid"))), lambda s: s.rid).alias("typical_ids"))
         return shape.join(ids, "first_id")
