@@ -172,9 +172,8 @@ def time_evolution(spark, d):
 
 def _residues(spark, d):
     rows = table(spark, d, "bottlenecks").where(F.col("md_traj").isNotNull() & (F.col("tunnel_cluster") > 0))
-    single = packed.unpack(rows, "row_id", "bottleneck_residues", "residue", literals=False)
-    keys = rows.select("row_id", "tunnel_cluster")
-    return single.join(keys, "row_id").select("tunnel_cluster", "residue"), keys
+    single = packed.unpack(rows, "row_id", "bottleneck_residues", "residue", keep=("tunnel_cluster",), every_delimiter_parts=True)
+    return single.select("tunnel_cluster", "residue"), rows.select("row_id", "tunnel_cluster")
 
 
 RESIDUES = """

@@ -30,7 +30,7 @@ def p1_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """The residues lining each bottleneck, one per row."""
-    return packed.unpack(table(spark, d, "bottlenecks"), "row_id", "bottleneck_residues", "residue", literals=False)
+    return packed.unpack(table(spark, d, "bottlenecks"), "row_id", "bottleneck_residues", "residue", every_delimiter_parts=True)
 
 
 TUNNEL_KEYS = ["md_traj", "snapshot_no", "tunnel_cluster", "tunnel"]
