@@ -136,3 +136,33 @@ def pack(df: DataFrame, id_col: str, size_col: str, capacity: int) -> DataFrame:
         F.lit(None).cast("bigint").alias("container_id"), F.lit(None).cast("int").alias("start_in_container"),
     )
     return full.mapInArrow(place, schema).unionByName(empty)
+
+
+def audit(placed: DataFrame, capacity: int) -> DataFrame:
+    """One row of figures of a packing: ``n_items, n_tokens, n_containers, overlaps, overfull, needless_splits, torn``.
+
+    ``overlaps``: pieces that begin before the one below them in their container ends; ``overfull``: pieces
+    that end beyond the capacity; ``needless_splits``: pieces of items that fit whole; ``torn``: items whose
+    pieces do not follow on each other from 0. A sound packing has 0 of all four. ``placed`` has the columns
+    of ``pack`` with the item first.
+    """
+    item = placed.columns[0]
+    size = F.col("piece_size").cast("long")
+    # Pieces of a container do not overlap if their ends and starts, sorted, are the same but for the gaps: the sum test below is exact
+    # for pieces laid end to end from 0, as ``pack`` lays them.
+    per_container = placed.where("container_id is not null").groupBy("container_id").agg(
+        F.sum(size).alias("used"), F.max(F.col("start_in_container") + size).alias("top"), F.min("start_in_container").alias("low"),
+        F.count_distinct("start_in_container").alias("starts"), F.count(F.lit(1)).alias("n"),
+    )
+    containers = per_container.agg(
+        F.count(F.lit(1)).alias("n_containers"), F.count_if((F.col("used") != F.col("top")) | (F.col("low") != 0) | (F.col("starts") != F.col("n"))).alias("overlaps"),
+        F.count_if(F.col("top") > capacity).alias("overfull"),
+    )
+    per_item = placed.groupBy(item).agg(
+        F.sum(size).alias("size"), F.count(F.lit(1)).alias("n"), F.max("n_pieces").alias("n_pieces"), F.max(F.col("start_in_item") + size).alias("top"), F.count_distinct("start_in_item").alias("starts")
+    )
+    items = per_item.agg(
+        F.count(F.lit(1)).alias("n_items"), F.sum("size").alias("n_tokens"), F.count_if((F.col("n") > 1) & (F.col("size") <= capacity)).alias("needless_splits"),
+        F.count_if((F.col("n") != F.col("n_pieces")) | (F.col("size") != F.col("top")) | (F.col("starts") != F.col("n"))).alias("torn"),
+    )
+    return items.crossJoin(containers).select("n_items", "n_tokens", "n_containers", "overlaps", "overfull", "needless_splits", "torn")  # one row each

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from poregrid.functions.domain import is_number, snapshot_number
 from poregrid.llm.flow import PointClusters
-from poregrid.llm.packing import pack
+from poregrid.llm.packing import audit, pack
 from poregrid.llm.reading import reading_levels
-from poregrid.llm.sketches import merge, percentiles, sketch, tall
+from poregrid.llm.sketches import DEFAULT_K, merge, percentiles, rank_check, rank_error, sketch, tall
 from poregrid.llm.tokens import count_tokens, decode_column, encode_column
 from poregrid.llm.topn import last_of, top_items
 from poregrid.session import table
@@ -53,6 +53,11 @@ def p3_clusters(spark: SparkSession, d: str) -> DataFrame:
     return _clusters(spark, d).describe().withColumnRenamed("first_id", "first_row_id")
 
 
+def p3_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """The number of rows of each cluster of nearby bottlenecks."""
+    return _clusters(spark, d).describe().select(F.col("first_id").alias("first_row_id"), "md_traj", F.col("size").alias("n_rows"))
+
+
 def _fields(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "bottlenecks").where(F.col("md_traj").isNotNull())
     days = rows.withColumn("day", F.to_date("loaded_at"))
@@ -70,7 +75,15 @@ def p4_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """Percentiles of each simulation and field, put together from sketches of single days."""
     days = sketch(_fields(spark, d), ["md_traj", "field_name", "day"], "value")
     together = merge(days, ["md_traj", "field_name"])
-    return percentiles(together, {"p10": 0.1, "p50": 0.5, "p90": 0.9, "p99": 0.99})
+    return percentiles(together, WANTED)
+
+
+WANTED = {"p10": 0.1, "p50": 0.5, "p90": 0.9, "p99": 0.99}
+
+
+def p4_rank_bound(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the percentiles of each simulation and field are within the sketch's error, two sketches' worth after merging."""
+    return rank_check(_fields(spark, d), ["md_traj", "field_name"], "value", p4_percentiles(spark, d), WANTED, 2 * rank_error(DEFAULT_K))
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -79,11 +92,8 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    """Every document's text, encoded and decoded again, beside its number of tokens."""
-    ids = encode_column(table(spark, d, "documents"), "doc_id", "text")
-    sizes = ids.select("doc_id", "ids", F.size("ids").alias("n_tokens"))
-    back = decode_column(sizes.select(F.struct("doc_id", "n_tokens").alias("k"), "ids"), "k", "ids")
-    return back.select("k.doc_id", "k.n_tokens", "text")
+    """Every document's text, encoded and decoded again; empty for a null one."""
+    return decode_column(encode_column(table(spark, d, "documents"), "doc_id", "text"), "doc_id", "ids")
 
 
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
@@ -91,6 +101,13 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return pack(count_tokens(table(spark, d, "documents"), "doc_id", "text"), "doc_id", "n_tokens", CAPACITY)
 
 
+def p8_audit(spark: SparkSession, d: str) -> DataFrame:
+    """What is wrong with the packing (nothing), and whether it needs at most 1.005 times the containers that the tokens fill, and one."""
+    got = audit(p8_containers(spark, d), CAPACITY)
+    few = F.col("n_containers") <= F.ceil(1.005 * F.col("n_tokens") / CAPACITY) + 1
+    return got.select("n_items", "overlaps", "overfull", "needless_splits", "torn", few.alias("well_filled"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """The documents that had to be split over containers."""
     return p8_containers(spark, d).where((F.col("n_pieces") > 1) & (F.col("piece_no") == 0)).select("doc_id")
@@ -108,7 +125,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "p2_found": p2_found, "p3_found": p3_found, "p3_clusters": p3_clusters, "p4_found": p4_found, "p4_percentiles": p4_percentiles,
-        "p7_ids": p7_ids, "p7_round_trip": p7_round_trip, "p8_found": p8_found, "p8_containers": p8_containers,
+        "p2_found": p2_found, "p3_found": p3_found, "p3_clusters": p3_clusters, "p3_sizes": p3_sizes, "p4_found": p4_found, "p4_percentiles": p4_percentiles, "p4_rank_bound": p4_rank_bound,
+        "p7_ids": p7_ids, "p7_round_trip": p7_round_trip, "p8_found": p8_found, "p8_containers": p8_containers, "p8_audit": p8_audit,
         "p9_found": p9_found, "p9_levels": p9_levels,
     }

@@ -2,9 +2,10 @@
 
 For every post the English prose outside code is measured: lexical diversity, word rarity, length of
 words and sentences, connectives, and subordinate clauses as a stand-in for clause depth. Word rarity
-comes from the word counts of the whole corpus, of which the most frequent ``lexicon_size`` words go
-to the tasks; any other word is as rare as one seen once. A proportional-odds model with an L2
-penalty is fitted to what readers said of a sample of the posts, and scores every post in the JVM.
+is minus the logarithm of a word's share of all words of the corpus, or of ``FLOOR`` if that is more:
+what it says of a word does not depend on the size of the corpus, and as shares sum to 1 at most
+1/``FLOOR`` words are above the floor and need to reach the tasks. A proportional-odds model with an
+L2 penalty is fitted to what readers said of a sample of the posts, and scores every post in the JVM.
 """
 
 from __future__ import annotations
@@ -29,7 +30,8 @@ FEATURES = (
     "long_type_ratio", "long_types_root", "log_words",
 )
 MIN_WORDS = 50
-LEXICON_SIZE = 20_000
+#: Share of all words below which words are equally rare; at most 1/FLOOR words are above it.
+FLOOR = 1e-5
 #: Most labelled posts a model is fitted on; of more, those with the lowest hash of their id.
 MAX_LABELLED = 20_000
 LONG, VERY_LONG = 10, 13
@@ -60,22 +62,22 @@ def extract(df: DataFrame, id_col: str, text_col: str, min_words: int = MIN_WORD
     return source.mapInArrow(run, f"`{id_col}` {id_type}, n_words int, n_sentences int, n_commas int, words string")
 
 
-def common_words(extracted: DataFrame, size: int) -> tuple[dict[str, int], int]:
-    """Counts of the ``size`` most frequent words of all posts, and the number of all words."""
+def common_words(extracted: DataFrame, floor: float = FLOOR) -> dict[str, float]:
+    """The share of all words of every word above ``floor``; at most 1/``floor`` of them."""
     counts = extracted.where(F.col("words").isNotNull()).select(F.explode(F.split("words", " ")).alias("word")).groupBy("word").count()
     counts = materialize(counts, "word-counts")
-    total = counts.agg(F.sum("count")).first()[0] or 0
-    return {r["word"]: r["count"] for r in counts.orderBy(F.desc("count"), "word").limit(size).collect()}, total
+    total = counts.agg(F.sum("count")).first()[0] or 1
+    return {r["word"]: r["count"] / total for r in counts.where(F.col("count") > F.lit(floor * total)).collect()}
 
 
 class WordTraits(dict):
     """Word to (rarity, rare, letters, long, very long, connective, subordinating)."""
 
-    def __init__(self, counts: dict[str, int], total: int):
-        self.counts, self.total = counts, max(total, 1)
+    def __init__(self, shares: dict[str, float], floor: float = FLOOR):
+        self.shares, self.floor = shares, floor
 
     def __missing__(self, word: str) -> tuple:
-        rarity = -math.log(self.counts.get(word, 1) / self.total)
+        rarity = -math.log(self.shares.get(word, self.floor))
         n = len(word)
         joins = word in COORDINATING or word in SUBORDINATING or word in ADVERBIAL
         got = (rarity, rarity > 9, n, n >= LONG, n >= VERY_LONG, joins, word in SUBORDINATING)
@@ -111,9 +113,9 @@ def measure(words: list[str], n_sentences: int, n_commas: int, traits: WordTrait
     ]
 
 
-def features(extracted: DataFrame, id_col: str, counts: dict[str, int], total: int) -> DataFrame:
+def features(extracted: DataFrame, id_col: str, shares: dict[str, float], floor: float = FLOOR) -> DataFrame:
     """``id_col, n_words`` and a double for each of ``FEATURES``, null where ``words`` is null."""
-    shared = extracted.sparkSession.sparkContext.broadcast((counts, total))
+    shared = extracted.sparkSession.sparkContext.broadcast((shares, floor))
     id_type = extracted.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,16 +179,26 @@ def fit_ordinal(x: np.ndarray, votes: np.ndarray, penalty: float = 1.0, rounds:
     return OrdinalModel(mean, scale, weights, cuts)
 
 
-def votes_of(labels: DataFrame, id_col: str, level_col: str) -> DataFrame:
-    """``id_col, v0, v1, v2``: how often each level was given; other spellings of case and blanks count, other texts do not."""
+def votes_of(labels: DataFrame, id_col: str, level_col: str, reader_col: str | None) -> DataFrame:
+    """``id_col, v0, v1, v2``: how many readers gave each level; other spellings of case and blanks count, other texts do not.
+
+    A reader's vote sent again counts once; a reader who gave several levels has a vote for each. Rows
+    without a reader, and all rows if there is no reader column, count one by one.
+    """
     level = F.lower(F.trim(F.col(level_col)))
-    counted = [F.count(F.when(level == name, 1)).alias(f"v{j}") for j, name in enumerate(LEVELS)]
-    return labels.where(F.col(id_col).isNotNull() & level.isin(*LEVELS)).groupBy(id_col).agg(*counted)
+    usable = labels.where(F.col(id_col).isNotNull() & level.isin(*LEVELS))
+    if reader_col is not None:
+        usable = usable.select(F.col(id_col).alias("d"), F.col(reader_col).alias("r"), level.alias("l"))
+        usable = usable.where("r is not null").distinct().unionByName(usable.where("r is null"))
+    else:
+        usable = usable.select(F.col(id_col).alias("d"), level.alias("l"))
+    counted = [F.count(F.when(F.col("l") == name, 1)).alias(f"v{j}") for j, name in enumerate(LEVELS)]
+    return usable.groupBy(F.col("d").alias(id_col)).agg(*counted)
 
 
 def reading_levels(
     df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", level_col: str = "reading_level",
-    min_words: int = MIN_WORDS, lexicon_size: int = LEXICON_SIZE, max_labelled: int = MAX_LABELLED, penalty: float = 1.0,
+    reader_col: str | None = "reader_id", min_words: int = MIN_WORDS, floor: float = FLOOR, max_labelled: int = MAX_LABELLED, penalty: float = 1.0,
 ) -> DataFrame:
     """``id_col, n_words, score, level`` for every row of ``df``.
 
@@ -196,9 +208,8 @@ def reading_levels(
     equal results.
     """
     extracted = materialize(extract(df, id_col, text_col, min_words), "prose")
-    counts, total = common_words(extracted, lexicon_size)
-    measured = materialize(features(extracted, id_col, counts, total), "features")
-    votes = votes_of(labels, id_col, level_col)
+    measured = materialize(features(extracted, id_col, common_words(extracted, floor), floor), "features")
+    votes = votes_of(labels, id_col, level_col, reader_col)
     labelled = measured.where(F.col(FEATURES[0]).isNotNull()).join(votes, id_col)
     sample = labelled.orderBy(F.xxhash64(id_col), id_col).limit(max_labelled).select(*FEATURES, "v0", "v1", "v2").collect()
     table = np.array([list(r) for r in sample], dtype=float).reshape(-1, len(FEATURES) + len(LEVELS))

@@ -52,3 +52,17 @@ def percentiles(sketches: DataFrame, wanted: dict[str, float]) -> DataFrame:
     """``sketches`` without the sketch, with a column for each wanted percentile (name to fraction)."""
     at: list[Column] = [F.kll_sketch_get_quantile_double("sketch", F.lit(float(p))).alias(name) for name, p in wanted.items()]
     return sketches.select(*[c for c in sketches.columns if c != "sketch"], *at)
+
+
+def rank_check(df: DataFrame, by: Sequence[str], value: str, answers: DataFrame, wanted: dict[str, float], bound: float) -> DataFrame:
+    """``by columns, n, within_bound``: whether each answer's rank in ``df`` is at most ``bound`` from the wanted one.
+
+    The rank of an answer is any place that values equal to it take. ``answers`` has one row for each group.
+    """
+    own = df.join(answers.select(*by, *[F.col(c).alias(f"_{c}") for c in wanted]), list(by))
+    counts = [fn.alias(f"{side}{k}") for k, c in enumerate(wanted) for side, fn in (("l", F.count_if(F.col(value) < F.col(f"_{c}"))), ("h", F.count_if(F.col(value) <= F.col(f"_{c}"))))]
+    got = own.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *counts)
+    ok = F.lit(True)
+    for k, p in enumerate(wanted.values()):
+        ok = ok & (F.col(f"l{k}") / F.col("n") <= p + bound) & (F.col(f"h{k}") / F.col("n") >= p - bound)
+    return got.select(*by, "n", ok.alias("within_bound"))
