@@ -246,70 +246,22 @@ def spherical(spark, d):
     return rounded(B.bottleneck_points(spark, d).select("row_id", r.alias("r"), theta.alias("theta"), phi.alias("phi")), ["r", "theta", "phi"])
 
 
-PAIRS_SQL = f"""with {B.NODES}, q as (select * from v_nodes where entity = 0), t as (select * from v_nodes where entity between 1 and 4),
-ql as (select min(layer) filter (is_end) as first_end, max(layer) as q_last from q),
-tl as (select entity, max(layer) as t_last from t group by entity),
-pairs as (
-  select t.entity as target, q.node as q_node, t.node as t_node, q.radius as q_radius, t.radius as t_radius, q.rmsf as q_rmsf, t.rmsf as t_rmsf,
-         sqrt((q.x - t.x) ** 2 + (q.y - t.y) ** 2 + (q.z - t.z) ** 2) as d
-  from q cross join ql join t on true join tl on tl.entity = t.entity
-  where abs(q.layer - t.layer) <= 1 or coalesce(t.layer >= first_end, false) or (q.layer = q_last and t.layer > q.layer)
-     or (q.layer > t_last and t.layer >= t_last - 1))"""
-
-
-def _pairs(spark, d):
-    """Path set 0 against 1 to 4, as the SQL of these queries has it; ``_all_pairs`` compares all."""
-    n = B.nodes(spark, d)
-    query_set = n.where("entity = 0").drop("entity").withColumn("target", F.explode(F.array(*[F.lit(k) for k in (1, 2, 3, 4)])))
-    target = n.where(F.col("entity").between(1, 4)).withColumnRenamed("entity", "target")
-    return nodes.band_candidates(query_set, target, ["target"])
-
-
 def _xyz(side: str):
     return [F.col(f"{side}_{c}") for c in "xyz"]
 
 
-@query(f"{PAIRS_SQL} select target, q_node, t_node, round(d - (q_radius + t_radius), 6) as dist from pairs")
-def layer_band_join(spark, d):
-    """Node pairs within the layer band, with their surface distance."""
-    dist = G.surface_distance(_xyz("q"), _xyz("t"), F.col("q_radius"), F.col("t_radius"))
-    return rounded(_pairs(spark, d).select("target", "q_node", "t_node", dist.alias("dist")), ["dist"])
-
-
-@query(f"{PAIRS_SQL} select target, q_node, t_node, round(d - (q_radius + t_radius) - least((q_rmsf + t_rmsf) / 2, 3.0), 6) as dist from pairs")
-def rmsf_distance(spark, d):
-    dist = G.relaxed_distance(_xyz("q"), _xyz("t"), *[F.col(c) for c in ("q_radius", "t_radius", "q_rmsf", "t_rmsf")])
-    return rounded(_pairs(spark, d).select("target", "q_node", "t_node", dist.alias("dist")), ["dist"])
-
-
-@query(f"""{PAIRS_SQL}, s as (select target, q_node, t_node, round(greatest(d - (q_radius + t_radius), 0.0), 6) as dist from pairs)
-select target, q_node, t_node as nearest, dist from s qualify row_number() over (partition by target, q_node order by dist, t_node) = 1""")
-def nearest_node(spark, d):
-    dist = F.round(G.surface_distance(_xyz("q"), _xyz("t"), F.col("q_radius"), F.col("t_radius")), 6)
-    return nodes.nearest(_pairs(spark, d), ["target", "q_node"], dist, "t_node")
-
-
-@query(f"""{PAIRS_SQL}, s as (select target, q_node, t_node, round(greatest(d - (q_radius + t_radius), 0.0), 6) as dist from pairs),
-near as (select * from s qualify row_number() over (partition by target, q_node order by dist, t_node) = 1)
-select target, round(avg(case when dist = 0 then 1.0 else 0.0 end), 6) as buriedness, round(max(1 / (layer + 1)), 6) as depth
-from near join v_nodes on node = t_node group by target""")
-def buriedness_depth(spark, d):
-    depths = B.nodes(spark, d).select("node", (1 / (F.col("layer") + 1)).alias("depth"))
-    return rounded(nodes.containment(nearest_node(spark, d), depths, ["target"]), ["buriedness", "depth"])
-
-
-ALL_PAIRS_SQL = f"""with {B.NODES}, lim as (select entity, min(layer) filter (is_end) as first_end, max(layer) as last_layer from v_nodes group by entity),
+PAIRS_SQL = f"""with {B.NODES}, lim as (select entity, min(layer) filter (is_end) as first_end, max(layer) as last_layer from v_nodes group by entity),
 pairs as (
   select q.entity as entity, t.entity as target, q.node as q_node, t.node as t_node, q.radius as q_radius, t.radius as t_radius, q.rmsf as q_rmsf, t.rmsf as t_rmsf,
          sqrt((q.x - t.x) ** 2 + (q.y - t.y) ** 2 + (q.z - t.z) ** 2) as d
   from v_nodes q join v_nodes t on q.entity <> t.entity join lim ql on ql.entity = q.entity join lim tl on tl.entity = t.entity
   where abs(q.layer - t.layer) <= 1 or coalesce(t.layer >= ql.first_end, false) or (q.layer = ql.last_layer and t.layer > q.layer)
      or (q.layer > tl.last_layer and t.layer >= tl.last_layer - 1))"""
-ALL_NEAR_SQL = f"""{ALL_PAIRS_SQL}, s as (select entity, target, q_node, t_node, round(greatest(d - (q_radius + t_radius), 0.0), 6) as dist from pairs),
+NEAR_SQL = f"""{PAIRS_SQL}, s as (select entity, target, q_node, t_node, round(greatest(d - (q_radius + t_radius), 0.0), 6) as dist from pairs),
 near as (select entity, target, q_node, t_node as nearest, dist from s qualify row_number() over (partition by entity, target, q_node order by dist, t_node) = 1)"""
 
 
-def _all_pairs(spark, d):
+def _pairs(spark, d):
     """Node pairs within the band for every ordered pair of distinct path sets."""
     n = B.nodes(spark, d)
     sets = n.select("entity").distinct()
@@ -318,30 +270,30 @@ def _all_pairs(spark, d):
     return nodes.band_candidates(query_set, target, ["entity", "target"])
 
 
-@query(f"{ALL_PAIRS_SQL} select entity, target, q_node, t_node, round(d - (q_radius + t_radius), 6) as dist from pairs")
-def layer_band_join_all(spark, d):
+@query(f"{PAIRS_SQL} select entity, target, q_node, t_node, round(d - (q_radius + t_radius), 6) as dist from pairs")
+def layer_band_join(spark, d):
     """Node pairs within the layer band of all ordered pairs of path sets, with their surface distance."""
     dist = G.surface_distance(_xyz("q"), _xyz("t"), F.col("q_radius"), F.col("t_radius"))
-    return rounded(_all_pairs(spark, d).select("entity", "target", "q_node", "t_node", dist.alias("dist")), ["dist"])
+    return rounded(_pairs(spark, d).select("entity", "target", "q_node", "t_node", dist.alias("dist")), ["dist"])
 
 
-@query(f"{ALL_PAIRS_SQL} select entity, target, q_node, t_node, round(d - (q_radius + t_radius) - least((q_rmsf + t_rmsf) / 2, 3.0), 6) as dist from pairs")
-def rmsf_distance_all(spark, d):
+@query(f"{PAIRS_SQL} select entity, target, q_node, t_node, round(d - (q_radius + t_radius) - least((q_rmsf + t_rmsf) / 2, 3.0), 6) as dist from pairs")
+def rmsf_distance(spark, d):
     dist = G.relaxed_distance(_xyz("q"), _xyz("t"), *[F.col(c) for c in ("q_radius", "t_radius", "q_rmsf", "t_rmsf")])
-    return rounded(_all_pairs(spark, d).select("entity", "target", "q_node", "t_node", dist.alias("dist")), ["dist"])
+    return rounded(_pairs(spark, d).select("entity", "target", "q_node", "t_node", dist.alias("dist")), ["dist"])
 
 
-@query(f"{ALL_NEAR_SQL} select * from near")
-def nearest_node_all(spark, d):
+@query(f"{NEAR_SQL} select * from near")
+def nearest_node(spark, d):
     dist = F.round(G.surface_distance(_xyz("q"), _xyz("t"), F.col("q_radius"), F.col("t_radius")), 6)
-    return nodes.nearest(_all_pairs(spark, d), ["entity", "target", "q_node"], dist, "t_node")
+    return nodes.nearest(_pairs(spark, d), ["entity", "target", "q_node"], dist, "t_node")
 
 
-@query(f"""{ALL_NEAR_SQL} select near.entity, target, round(avg(case when dist = 0 then 1.0 else 0.0 end), 6) as buriedness, round(max(1 / (layer + 1)), 6) as depth
+@query(f"""{NEAR_SQL} select near.entity, target, round(avg(case when dist = 0 then 1.0 else 0.0 end), 6) as buriedness, round(max(1 / (layer + 1)), 6) as depth
 from near join v_nodes on node = nearest group by near.entity, target""")
-def buriedness_depth_all(spark, d):
+def buriedness_depth(spark, d):
     depths = B.nodes(spark, d).select("node", (1 / (F.col("layer") + 1)).alias("depth"))
-    return rounded(nodes.containment(nearest_node_all(spark, d), depths, ["entity", "target"]), ["buriedness", "depth"])
+    return rounded(nodes.containment(nearest_node(spark, d), depths, ["entity", "target"]), ["buriedness", "depth"])
 
 
 @query(f"""with {B.NODES} select entity, layer, round(avg(x), 6) as x, round(avg(y), 6) as y, round(avg(z), 6) as z, round(max(radius), 6) as radius,
@@ -551,8 +503,9 @@ def exact_match_fraction(spark, d):
 
 
 ASSIGN_SQL = f"""with {B.NODES}, c as (select entity as event, layer % 12 as sc_id, round(avg(radius), 6) / 2 as buriedness, round(max(rmsf), 6) as depth from v_nodes group by all),
-b as (select *, max(buriedness) filter (buriedness >= 0.6) over (partition by event) as best from c),
-w as (select * from b where buriedness >= 0.6 and buriedness >= best - 0.05 qualify row_number() over (partition by event order by depth desc, buriedness desc, sc_id) = 1)
+b as (select *, max(buriedness) over (partition by event) as best from c),
+n as (select * from b where best >= 0.6 and buriedness >= best - 0.05),
+w as (select * from n qualify depth = max(depth) over (partition by event))
 select e.event, w.sc_id, w.buriedness, w.depth from (select distinct event from c) e left join w on w.event = e.event"""
 
 
@@ -563,7 +516,8 @@ def event_assignment(spark, d):
     return assign.assign_events(c, ["event"], cutoff=0.6)
 
 
-@query()
+@query("""select md_traj, row_id from bottlenecks
+qualify row_number() over (partition by md_traj order by md5(cast(row_id as varchar) || ':4'), row_id) <= 20""")
 def seeded_sample(spark, d):
     """At most 20 bottlenecks of each simulation, chosen by a seeded hash."""
     rows = table(spark, d, "bottlenecks").select("md_traj", "row_id")

@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from poregrid.functions.geometry import distance, node_label
+from poregrid.functions.geometry import node_label
+from poregrid.operators import skew
+from poregrid.session import materialize
 
 XYZ = ("x", "y", "z")
 
@@ -15,16 +17,20 @@ XYZ = ("x", "y", "z")
 def node_statistics(points: DataFrame, keys: Sequence[str], quantile: float = 0.9) -> DataFrame:
     """Mean place, spread (root mean square distance from it), radius quantile, end points and start flag of each node.
 
-    ``points``: keys, x, y, z, radius, is_end, is_start. The spread needs the means, so there are two
-    groupings on the same keys; the quantile is exact with linear interpolation.
+    ``points``: keys, x, y, z, radius, is_end, is_start. The spread is the root of the three coordinates'
+    variances, so one grouping gives all but the quantile. That is exact with linear interpolation: the
+    radii of a node are counted by value and put in order in ranges, never all in one task
+    (``skew.weighted_percentiles``). Rows with a null key form a node of their own.
     """
-    means = points.groupBy(*keys).agg(*[F.avg(c).alias(f"m{c}") for c in XYZ])
-    placed = points.join(means, list(keys))
-    d2 = sum((F.col(c) - F.col(f"m{c}")) ** 2 for c in XYZ)
-    return placed.groupBy(*keys).agg(
-        *[F.first(f"m{c}").alias(c) for c in XYZ], F.sqrt(F.avg(d2)).alias("rmsf"), F.percentile("radius", quantile).alias("radius"),
+    figures = points.groupBy(*keys).agg(
+        *[F.avg(c).alias(c) for c in XYZ], F.sqrt(sum(F.var_pop(c) for c in XYZ)).alias("rmsf"),
         F.count_if("is_end").alias("num_end_points"), F.bool_or("is_start").alias("has_start"), F.count(F.lit(1)).alias("n_points"),
     )
+    counted = materialize(skew.compress(points, F.struct(*keys), F.col("radius").cast("double")), "radii")
+    radii = skew.weighted_percentiles(counted, [quantile]).toDF("key", "_q").select(*[F.col("key")[k].alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_q").alias("radius"))
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    joined = figures.join(radii, same, "left").drop(*[f"_k{i}" for i in range(len(keys))])
+    return joined.select(*keys, *XYZ, "rmsf", "radius", "num_end_points", "has_start", "n_points")
 
 
 def merge_nodes(nodes: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -108,15 +114,6 @@ def containment(closest: DataFrame, depths: DataFrame, keys: Sequence[str]) -> D
     return joined.groupBy(*keys).agg(F.avg((F.col("dist") == 0).cast("double")).alias("buriedness"), F.max("depth").alias("depth"))
 
 
-def within(points: DataFrame, centres: DataFrame, key: Sequence[str], cutoff: float) -> DataFrame:
-    """Points and centres of the same ``key`` at most ``cutoff`` apart (both sets bounded per key)."""
-    p = [F.col(f"p_{c}") for c in XYZ]
-    c = [F.col(f"c_{k}") for k in XYZ]
-    a = points.select(*key, *[F.col(k).alias(f"p_{k}") for k in points.columns if k not in key])
-    b = centres.select(*key, *[F.col(k).alias(f"c_{k}") for k in centres.columns if k not in key])
-    return a.join(b, list(key)).withColumn("dist", distance(p, c)).where(F.col("dist") <= cutoff)
-
-
 def best_path(paths: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The path that starts in the lowest layer, the shortest of these, then the lowest id."""
     best = F.min(F.struct("first_layer", F.size("nodes").alias("n"), "path_id", "nodes"))

@@ -14,12 +14,13 @@ TIES = ("cluster_id", "tunnel_id", "length", "bottleneck_radius", "curvature")
 def best_per_snapshot(tunnels: DataFrame, keys: Sequence[str] = ("sc_id", "md_label", "snapshot_id"), ties: Sequence[str] = TIES) -> DataFrame:
     """The tunnel with the highest throughput of each supercluster, simulation and snapshot.
 
-    Ties go to the lowest of ``ties`` in turn. The mergeable form (a minimum over a struct) combines
-    rows before the shuffle and never orders a whole group; null throughput comes last.
+    Ties go to the lowest of ``ties`` in turn; null throughput comes last. Spark keeps the first row of
+    each group of a task before the shuffle (WindowGroupLimit), so a hot group sends one row a task. The
+    hash of the keys leads the sort, whose comparisons then seldom reach the keys themselves.
     """
-    rest = [c for c in tunnels.columns if c not in {*keys, *ties, "throughput"}]
-    rank = F.struct(F.col("throughput").isNull().alias("none"), (-F.col("throughput")).alias("neg"), *ties, *rest, "throughput")
-    return tunnels.groupBy(*keys).agg(F.min(rank).alias("b")).select(*keys, *[F.col(f"b.{c}").alias(c) for c in tunnels.columns if c not in keys])
+    w = Window.partitionBy("_h", *keys).orderBy(F.desc_nulls_last("throughput"), *ties)
+    hashed = tunnels.withColumn("_h", F.xxhash64(*keys))
+    return hashed.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_h", "_r")
 
 
 def _figures() -> list[Column]:

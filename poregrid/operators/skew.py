@@ -47,25 +47,24 @@ def key_figures(compressed: DataFrame) -> DataFrame:
 
 def _ranged(values: DataFrame, window_limit: int) -> DataFrame:
     """``values`` with a ``part``: rising with value, 0 for keys of at most ``window_limit`` values."""
-    largest = values.groupBy("key").agg(F.count(F.lit(1)).alias("d")).agg(F.max("d")).first()[0] or 0
-    if largest <= window_limit:
+    sizes = values.groupBy("key").agg(F.count(F.lit(1)).alias("d")).where(F.col("d") > window_limit)
+    hot = materialize(sizes.select(F.col("key").alias("hot_key"), "d"), "hot-keys")
+    largest = hot.agg(F.max("d")).first()[0]
+    if largest is None:
         return values.withColumn("part", F.lit(0))
     pieces = min(MAX_SPLITTERS, -(-2 * largest // window_limit))
     cuts = [k / pieces for k in range(1, pieces)]
-    splitters = (
-        values.groupBy("key")
-        .agg(F.count(F.lit(1)).alias("d"), F.percentile_approx("value", cuts, max(10_000, 20 * pieces)).alias("cuts"))
-        .where(F.col("d") > window_limit)
-        .select("key", F.array_sort(F.array_distinct("cuts")).alias("cuts"))
-    )
-    # A key beyond the limit needs that many rows, so there are at most (distinct values / limit) of them.
-    found = Internal.array_binary_search(F.col("cuts"), F.col("value"))
-    place = F.when(found < 0, -found - 1).otherwise(found)
-    named = splitters.withColumnRenamed("key", "hot_key")
     same = F.col("key").eqNullSafe(F.col("hot_key"))
-    hot = values.join(F.broadcast(named), same).select("key", "value", "freq", place.cast("int").alias("part"))
-    cold = values.join(F.broadcast(named.select("hot_key")), same, "left_anti").withColumn("part", F.lit(0))
-    return hot.unionByName(cold)
+    # Splitters of the hot keys only, of each as many as its values need.
+    all_cuts = values.join(hot, same).groupBy("hot_key", "d").agg(F.percentile_approx("value", cuts, max(10_000, 20 * pieces)).alias("cuts"))
+    step = F.greatest(F.lit(1), F.floor(F.lit(pieces) / F.ceil(2 * F.col("d") / window_limit))).cast("int")
+    own = F.array_sort(F.array_distinct(F.filter("cuts", lambda _, i: (i + 1) % F.col("step") == 0)))
+    splitters = materialize(all_cuts.withColumn("step", step).select("hot_key", own.alias("cuts")), "splitters")
+    # Written tables have a known size: Spark sends the splitters to all tasks if they are under its
+    # threshold, and else joins by key, where it splits large partitions (skew join).
+    found = Internal.array_binary_search(F.col("cuts"), F.col("value"))
+    place = F.coalesce(F.when(found < 0, -found - 1).otherwise(found), F.lit(0))
+    return values.join(splitters, same, "left").select("key", "value", "freq", place.cast("int").alias("part"))
 
 
 def weighted_percentiles(compressed: DataFrame, percentiles: Sequence[float], window_limit: int = WINDOW_LIMIT) -> DataFrame:
@@ -129,6 +128,6 @@ def key_statistics(
 
 def heavy_keys(df: DataFrame, key: Column, value: Column, share: float) -> DataFrame:
     """``key, n_rows`` of the keys that stand in at least ``share`` of all rows (the null key included)."""
-    compressed = compress(df, key, value)
-    total = compressed.agg(F.coalesce(F.sum("freq"), F.lit(0))).scalar()
-    return key_figures(compressed).select("key", "n_rows").where(F.col("n_rows") >= F.lit(share) * total)
+    counts = materialize(key_figures(compress(df, key, value)).select("key", "n_rows"), "key-counts")
+    total = counts.agg(F.coalesce(F.sum("n_rows"), F.lit(0))).scalar()
+    return counts.where(F.col("n_rows") >= F.lit(share) * total)

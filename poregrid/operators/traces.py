@@ -82,10 +82,9 @@ def numbered_paths(paths: DataFrame, key: str, order: str) -> DataFrame:
 def nearest_in_frame(candidates: DataFrame, frame: Sequence[str], dist: str, cluster: str, atom: str) -> DataFrame:
     """The sphere nearest to the ligand in each frame; of equal ones the last cluster and atom."""
     rest = [c for c in candidates.columns if c not in {*frame, dist, cluster, atom}]
-    best = F.min(F.struct(F.col(dist), (-F.col(cluster)).alias("nc"), (-F.col(atom)).alias("na"), *rest))
-    return candidates.groupBy(*frame).agg(best.alias("b")).select(
-        *frame, F.col(f"b.{dist}").alias(dist), (-F.col("b.nc")).alias(cluster), (-F.col("b.na")).alias(atom), *[F.col(f"b.{c}").alias(c) for c in rest]
-    )
+    w = Window.partitionBy("_h", *frame).orderBy(dist, F.desc(cluster), F.desc(atom), *rest)
+    ranked = candidates.withColumn("_h", F.xxhash64(*frame)).withColumn("_r", F.row_number().over(w))
+    return ranked.where("_r = 1").drop("_h", "_r").select(*frame, dist, cluster, atom, *rest)
 
 
 def match_fractions(nearest: DataFrame, frames: DataFrame, key: Sequence[str], dist: str, radius: float) -> DataFrame:

@@ -83,7 +83,7 @@ def discover(df: DataFrame, attribute: str, value: str, catalog: Sequence[Attrib
         .orderBy("a").limit(MAX_ATTRIBUTES + 1).collect()
     )
     if len(known) + len(seen) > MAX_ATTRIBUTES:
-        raise ValueError(f"more than {MAX_ATTRIBUTES} attributes; give a catalog and keep_unknown=False")
+        raise ValueError(f"more than {MAX_ATTRIBUTES} attributes; keep fewer of them, or widen with a catalog of attributes alone")
     found = list(known.values())
     used = {a.column for a in found}
     for r in seen:

@@ -27,10 +27,37 @@ def test_group_membership_must_be_unique(spark):
     assert {(r.md_label, r.grp) for r in assign.with_groups(rows, groups.limit(1)).collect()} == {("a", "g"), ("b", None)}
 
 
-def test_event_assignment(spark):
-    rows = [("e", 1, 0.9, 0.2), ("e", 2, 0.88, 0.5), ("e", 3, 0.5, 1.0), ("f", 1, 0.3, 1.0), ("g", 5, 0.9, None), ("g", 4, 0.9, None)]
-    got = {r.ev: r.sc_id for r in assign.assign_events(spark.createDataFrame(rows, "ev string, sc_id int, buriedness double, depth double"), ["ev"]).collect()}
-    assert got == {"e": 2, "f": None, "g": 4}
+CONTAINED = [("e", 1, 0.9, 0.2), ("e", 2, 0.86, 0.5), ("e", 3, 0.5, 1.0), ("f", 1, 0.3, 1.0), ("g", 5, 0.9, None), ("g", 4, 0.9, None), ("h", 1, None, None)]
+
+
+@pytest.mark.parametrize("by,want", [
+    ("penetration_depth", {("e", 2), ("f", None), ("g", 4), ("g", 5), ("h", None)}),
+    ("assign2all", {("e", 1), ("e", 2), ("f", None), ("g", 4), ("g", 5), ("h", None)}),
+    ("exact_matching", {("e", 1), ("f", None), ("g", None), ("h", None)}),
+])
+def test_event_assignment(spark, by, want):
+    df = spark.createDataFrame(CONTAINED, "ev string, sc_id int, buriedness double, depth double")
+    matches = spark.createDataFrame([("e", 1, 0.7), ("e", 2, 0.3)], "ev string, sc_id int, of_frames double")
+    got = [(r.ev, r.sc_id) for r in assign.assign_events(df, ["ev"], by=by, matches=matches).collect()]
+    assert len(got) == len(want) and set(got) == want
+    with pytest.raises(ValueError):
+        assign.assign_events(df, ["ev"], by="nothing")
+
+
+def test_directions_meet_by_cells(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    events, centres = rng.normal(size=(200, 3)), rng.normal(size=(40, 3))
+    centres[0], centres[1] = (1, 1, 1), (0, 0, 0)  # a corner of the cube, and no direction
+    e = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(events)] + [(999, None, 1.0, 1.0)], "id int, x double, y double, z double")
+    s = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(centres)], "sc_id int, x double, y double, z double")
+    unit = lambda v: v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+    angle = np.arccos(np.clip(unit(events) @ unit(centres).T, -1, 1))
+    for cutoff in (0.2, 1.0, np.pi / 2):
+        want = {(int(i), int(j)) for i, j in np.argwhere(angle <= cutoff) if j != 1}
+        assert {(r.id, r.sc_id) for r in assign.by_direction(e, s, float(cutoff)).collect()} == want
+    assert assign.by_direction(e, s.where("false"), 1.0).count() == 0
 
 
 def test_traces_with_nulls_and_single_points(spark):
