@@ -86,3 +86,20 @@ v_bn as (
   select *, bottleneck_x as x, bottleneck_y as y, bottleneck_z as z, bottleneck_r as radius from bottlenecks
   where md_traj is not null and tunnel_cluster > 0 and isfinite(bottleneck_x) and isfinite(bottleneck_y) and isfinite(bottleneck_z)
     and bottleneck_x <> 999.0 and bottleneck_y <> 999.0 and bottleneck_z <> 999.0 and isfinite(bottleneck_r) and bottleneck_r > 0)"""
+
+
+def trace_places(spark: SparkSession, d: str) -> DataFrame:
+    """User events as ligand traces in space: path, ord, event_type, x, y, z."""
+    from pyspark.sql import Window
+
+    i, r = F.col("event_id"), F.col("dist") / 10
+    ord_ = F.row_number().over(Window.partitionBy("path").orderBy("ts", "event_id"))
+    places = [(r * (i * a % b - b // 2) / 10).alias(c) for c, a, b in (("x", 7, 11), ("y", 3, 7), ("z", 5, 13))]
+    return trace_points(spark, d).select("path", ord_.alias("ord"), "event_type", *places)
+
+
+TRACE_PLACES = TRACE_POINTS + """,
+v_places as (
+  select path, cast(row_number() over (partition by path order by ts, event_id) as int) as ord, event_type,
+         (dist / 10) * (event_id * 7 % 11 - 5) / 10 as x, (dist / 10) * (event_id * 3 % 7 - 3) / 10 as y, (dist / 10) * (event_id * 5 % 13 - 6) / 10 as z
+  from v_trace)"""

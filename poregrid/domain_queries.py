@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from poregrid import bindings as B
 from poregrid.functions import geometry as G
 from poregrid.functions.domain import snapshot_number
-from poregrid.operators import assign, filters, layering, nodes, packed, profiles, superclusters, traces
+from poregrid.operators import assign, events, filters, layering, matching, nodes, packed, profiles, traces
 from poregrid.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -464,13 +464,59 @@ def distinct_md(spark, d):
     return table(spark, d, "bottlenecks").agg(F.count_distinct("md_traj").alias("num_md_sims"), own.alias("num_clusters"), F.count(F.lit(1)).alias("num_rows"))
 
 
+SPHERES_SQL = r"""
+lines as (
+  select md_traj, cast(regexp_extract(snapshot, '([0-9]+)[^0-9]*\.pdb', 1) as int) as frame, tunnel_cluster, tunnel,
+         regexp_replace(lower(axis), '^[\s[:punct:]]+|[\s[:punct:]]+$', '', 'g') as a, axis_values, loaded_at, line_id
+  from tunnel_profiles where md_traj is not null and tunnel_cluster > 0),
+last_ as (
+  select * from lines qualify row_number() over (partition by md_traj, frame, tunnel_cluster, tunnel, a order by loaded_at desc, line_id desc) = 1),
+cells as (
+  select md_traj, frame, tunnel_cluster, tunnel, a, unnest(string_split(coalesce(axis_values, ''), ',')) as v,
+         generate_subscripts(string_split(coalesce(axis_values, ''), ','), 1) as i from last_ where a in ('x', 'y', 'z', 'r')),
+spheres as (
+  select *, cast(greatest(0, ceil(ceil(sqrt(x * x + y * y + z * z)) / 1.5) - 1) as int) as layer from (
+    select md_traj, frame, tunnel_cluster, tunnel, i, max(n) filter (a = 'x') as x, max(n) filter (a = 'y') as y, max(n) filter (a = 'z') as z, max(n) filter (a = 'r') as r
+    from (select * exclude (v), try_cast(trim(v) as double) as n from cells) where isfinite(n) group by all)
+  where x is not null and y is not null and z is not null and r is not null),
+shapes as (select md_traj, frame, tunnel_cluster, tunnel, list(distinct layer) as ls, max(layer) as last from spheres group by all)"""
+
 MATCH_SQL = f"""with e as ({SQL["event_frame_windows"]}), n as (
   select path_row, event_type, md_traj, unnest(range(frame_b, frame_e + 1)) as frame from e where frame_b <= frame_e),
-{B.BOTTLENECK_POINTS}, b as (
-  select md_traj, cast(regexp_extract(snapshot, '([0-9]+)[^0-9]*\\.pdb', 1) as int) as frame, tunnel_cluster, tunnel, round(radius - 0.4, 6) as dist from v_bn),
-near as (
-  select path_row, event_type, frame, dist, tunnel_cluster, tunnel from n join b using (md_traj, frame)
-  qualify row_number() over (partition by path_row, event_type, frame order by dist, tunnel_cluster desc, tunnel desc) = 1)"""
+starts as (select md_traj, avg(origin_x) as x, avg(origin_y) as y, avg(origin_z) as z from starting_points group by md_traj),
+ligand as (
+  select *, cast(greatest(0, ceil(ceil(sqrt(x * x + y * y + z * z)) / 1.5) - 1) as int) as q from (
+    select p.md_traj, model_no as frame, origin_x - x as x, origin_y - y as y, origin_z - z as z from starting_points p join starts using (md_traj))),
+{SPHERES_SQL},
+tunnels as (
+  select md_traj, frame, tunnel_cluster, tunnel, q, ls, last, l.x, l.y, l.z, list_max(list_filter(ls, lambda v: v < q)) as below, list_min(list_filter(ls, lambda v: v > q)) as above
+  from ligand l join shapes using (md_traj, frame)),
+touch as (
+  select md_traj, frame, tunnel_cluster, tunnel, sqrt((t.x - s.x) ** 2 + (t.y - s.y) ** 2 + (t.z - s.z) ** 2) - s.r as d
+  from tunnels t join spheres s using (md_traj, frame, tunnel_cluster, tunnel)
+  where case when q > last then s.layer >= last - 1 when list_contains(ls, q) then abs(s.layer - q) <= 1
+        else coalesce(s.layer between below - 1 and below, false) or coalesce(s.layer between above and above + 1, false) end),
+best_ as (select md_traj, frame, tunnel_cluster, tunnel, round(min(d), 6) as dist from touch group by all),
+first_ as (select * from best_ qualify row_number() over (partition by md_traj, frame order by dist, tunnel_cluster desc, tunnel) = 1),
+near as (select path_row, event_type, frame, dist, tunnel_cluster, tunnel from n join first_ using (md_traj, frame))"""
+
+
+def tunnel_spheres(spark, d):
+    """The spheres of the tunnel profiles as an array for each tunnel: md_traj, frame, tunnel_cluster, tunnel, spheres."""
+    from poregrid import queries as core
+
+    w = core._wide_profiles(spark, d, [a for a in core._catalog(spark, d) if a.required]).where(F.col("md_traj").isNotNull() & (F.col("tunnel_cluster") > 0))
+    zipped = F.arrays_zip("sphere_x", "sphere_y", "sphere_z", "sphere_r")
+    spheres = F.transform(zipped, lambda s: F.struct(*[s[f"sphere_{c}"].alias(c) for c in "xyzr"]))
+    return w.select("md_traj", F.col("snapshot_no").alias("frame"), "tunnel_cluster", "tunnel", spheres.alias("spheres"))
+
+
+def ligand_points(spark, d):
+    """The ligand in each frame, seen from the mean starting point of its simulation: md_traj, frame, atom, x, y, z."""
+    points = table(spark, d, "starting_points")
+    mean = assign.mean_start(points, "md_traj", ["origin_x", "origin_y", "origin_z"])[0].toDF("md_traj", "mx", "my", "mz")
+    placed = [(F.col(f"origin_{c}") - F.col(f"m{c}")).alias(c) for c in "xyz"]
+    return points.join(mean, "md_traj").select("md_traj", F.col("model_no").alias("frame"), F.lit(0).alias("atom"), *placed)
 
 
 def _frames(spark, d):
@@ -479,41 +525,125 @@ def _frames(spark, d):
 
 
 def _near(spark, d):
-    b = B.bottleneck_points(spark, d).select(
-        "md_traj", snapshot_number(F.col("snapshot")).alias("frame"), "tunnel_cluster", "tunnel", F.round(F.col("radius") - 0.4, 6).alias("dist")
-    )
-    # The distance is the tunnel's own here, so the nearest of a frame is found before events multiply the frames.
-    nearest = traces.nearest_in_frame(b, ["md_traj", "frame"], "dist", "tunnel_cluster", "tunnel")
-    return _frames(spark, d).join(nearest, ["md_traj", "frame"]).select("path_row", "event_type", "frame", "dist", "tunnel_cluster", "tunnel")
+    # A frame's ligand is the same for all its events here, so its nearest tunnel is found before events multiply the frames.
+    found = matching.matches(ligand_points(spark, d), tunnel_spheres(spark, d), [], ["md_traj", "frame"], places=6)
+    return _frames(spark, d).join(found, ["md_traj", "frame"]).select("path_row", "event_type", "frame", "dist", "tunnel_cluster", "tunnel")
 
 
 @query(MATCH_SQL + " select path_row, event_type, cast(frame as int) as frame, dist, tunnel_cluster, tunnel from near")
 def frame_nearest(spark, d):
-    """Event frames joined to the tunnels of the same frame; the nearest one, of equal ones the last."""
+    """Event frames joined to the tunnels of the same frame; the nearest sphere to the ligand, of equal ones the last cluster's."""
     return _near(spark, d)
 
 
 @query(MATCH_SQL + """, f as (select path_row, event_type, count(*) as n_frames from n group by all),
-h as (select path_row, event_type, count(*) filter (dist <= 0.5) as hits, count(*) as k from near group by all)
+h as (select path_row, event_type, count(*) filter (dist <= 0.0) as hits, count(*) as k from near group by all)
 select f.path_row, f.event_type, round(coalesce(hits / n_frames, 0.0), 6) as of_frames, round(hits / k, 6) as of_tunnel_frames
 from f left join h using (path_row, event_type)""")
 def exact_match_fraction(spark, d):
-    got = traces.match_fractions(_near(spark, d), _frames(spark, d), ["path_row", "event_type"], "dist", 0.5)
+    got = matching.fractions(_near(spark, d), _frames(spark, d), ["path_row", "event_type"], 0.0)
     return rounded(got, ["of_frames", "of_tunnel_frames"])
 
 
-ASSIGN_SQL = f"""with {B.NODES}, c as (select entity as event, layer % 12 as sc_id, round(avg(radius), 6) / 2 as buriedness, round(max(rmsf), 6) as depth from v_nodes group by all),
-b as (select *, max(buriedness) over (partition by event) as best from c),
-n as (select * from b where best >= 0.6 and buriedness >= best - 0.05),
-w as (select * from n qualify depth = max(depth) over (partition by event))
-select e.event, w.sc_id, w.buriedness, w.depth from (select distinct event from c) e left join w on w.event = e.event"""
+SEGMENTS_SQL = f"""with {B.TRACE_PLACES}, u as (
+  select * from v_places window w as (partition by path order by ord)
+  qualify row_number() over w = 1 or not (x = lag(x) over w and y = lag(y) over w and z = lag(z) over w)),
+ch as (select *, case when event_type = lag(event_type) over (partition by path order by ord) then 0 else 1 end as c from u),
+ru as (select *, sum(c) over (partition by path order by ord rows unbounded preceding) as run_no from ch),
+fr as (select path, event_type, ord, x, y, z, sqrt(x * x + y * y + z * z) as dist from ru qualify run_no = min(run_no) over (partition by path, event_type)),
+le as (select *, coalesce(min(dist) filter (event_type = 'inside') over (partition by path), -1.0) as i, min(dist) over (partition by path, event_type) as m from fr),
+se as (select path, event_type, ord, x, y, z, dist from le where not (event_type <> 'inside' and i >= 6.0 and m >= 6.0) 
+  qualify max(cast(event_type <> 'inside' as int)) over (partition by path) = 1)"""
+EXTENDED_SQL = SEGMENTS_SQL + """, seed as (select path, event_type, min(dist) as seed from se where event_type <> 'inside' group by all),
+ins as (select se.path, seed.event_type, ord, x, y, z, dist, seed, case when seed.event_type = 'entry' then ord else -ord end as p from se join seed on seed.path = se.path where se.event_type = 'inside'),
+br as (select *, cast(dist > least(seed, coalesce(min(dist) over (partition by path, event_type order by p rows between unbounded preceding and 1 preceding), seed)) as int) as b from ins),
+cl as (select *, sum(b) over (partition by path, event_type order by p rows unbounded preceding) as s from br),
+ex as (select path, event_type, 0 as phase, ord, x, y, z, dist from se where event_type <> 'inside'
+  union all select path, event_type, case when event_type = 'entry' then 1 else -1 end, ord, x, y, z, dist from cl where s = 0)"""
+POINTS_SQL = EXTENDED_SQL + """, num as (
+  select *, row_number() over (partition by path, event_type order by phase, ord) - 1 as p, count(*) over (partition by path, event_type) as n from ex),
+pts as (select path, event_type, cast(case when event_type = 'entry' then n - 1 - p else p end as int) as ord, x, y, z, dist,
+  (case when event_type = 'entry' then n - 1 - p else p end) = n - 1 as is_end from num where n > 1)"""
+SPOT = ["x", "y", "z", "dist"]
+
+
+@query(SEGMENTS_SQL + " select path, event_type, ord, round(x, 6) as x, round(y, 6) as y, round(z, 6) as z, round(dist, 6) as dist from se")
+def event_segments(spark, d):
+    """Inside, entry and release parts of the traces that come near enough."""
+    return rounded(events.segments(B.trace_places(spark, d), ["path"]), SPOT)
+
+
+@query(EXTENDED_SQL + " select path, event_type, phase, ord, round(x, 6) as x, round(y, 6) as y, round(z, 6) as z, round(dist, 6) as dist from ex")
+def event_extension(spark, d):
+    """Entries and releases with the inside points that lead on to the origin."""
+    return rounded(events.extended(events.segments(B.trace_places(spark, d), ["path"]), ["path"]), SPOT)
+
+
+@query(POINTS_SQL + " select path, event_type, ord, round(x, 6) as x, round(y, 6) as y, round(z, 6) as z, round(dist, 6) as dist, is_end from pts")
+def event_points(spark, d):
+    """The points of each event in order from its inner end, events of one point left out; without the search for a way."""
+    return rounded(events.extract(B.trace_places(spark, d), ["path"], search=False), SPOT)
+
+
+@query()
+def astar_extension(spark, d):
+    """The same with the overlapping way from the inner end to the origin."""
+    return rounded(events.extract(B.trace_places(spark, d), ["path"]), SPOT)
+
+
+@query(POINTS_SQL + """, la as (select *, cast(greatest(0, ceil(ceil(dist) / 1.5) - 1) as int) as layer from pts)
+select path, event_type, layer || '_' || case when is_end then '2' else '1' end as node, layer, round(avg(x), 6) as x, round(avg(y), 6) as y, round(avg(z), 6) as z,
+  1.0 as radius, round(sqrt(var_pop(x) + var_pop(y) + var_pop(z)), 6) as rmsf, is_end from la group by path, event_type, layer, is_end""")
+def event_layers(spark, d):
+    """One node for each layer of an event and one for its end."""
+    points = events.extract(B.trace_places(spark, d), ["path"], search=False)
+    return rounded(events.layer_figures(events.in_layers(points), ["path", "event_type"]), ["x", "y", "z", "rmsf"])
+
+
+CONTAINED_SQL = f"""with {B.NODES}, first_ as (select * from v_nodes where is_end qualify row_number() over (partition by entity order by node) = 1),
+ways as (select entity as sc_id, avg(x) as x, avg(y) as y, avg(z) as z from v_nodes where is_end group by entity),
+pairs as (
+  select n.entity as event, e.sc_id from first_ n join ways e on
+    atan2(sqrt((n.y * e.z - n.z * e.y) ** 2 + (n.z * e.x - n.x * e.z) ** 2 + (n.x * e.y - n.y * e.x) ** 2), n.x * e.x + n.y * e.y + n.z * e.z) <= 1.5707963267948966),
+lim as (select entity, min(layer) filter (is_end) as first_end, max(layer) as last_layer from v_nodes group by entity),
+met as (
+  select p.event, p.sc_id, q.node as q_node, t.node as t_node,
+         round(greatest(sqrt((q.x - t.x) ** 2 + (q.y - t.y) ** 2 + (q.z - t.z) ** 2) - (q.radius + t.radius) - least((q.rmsf + t.rmsf) / 2, 3.0), 0.0), 6) as dist,
+         case when abs(q.layer - t.layer) <= 1 or coalesce(t.layer >= a.first_end, false) or (q.layer = a.last_layer and t.layer > q.layer) or (q.layer > b.last_layer and t.layer >= b.last_layer - 1) then 0
+              when coalesce(q.layer >= b.first_end, false) or (t.layer = b.last_layer and q.layer > t.layer) or (t.layer > a.last_layer and q.layer >= a.last_layer - 1) then 1 else 2 end as r
+  from pairs p join v_nodes q on q.entity = p.event join v_nodes t on t.entity = p.sc_id join lim a on a.entity = p.event join lim b on b.entity = p.sc_id),
+near as (select * from met qualify row_number() over (partition by event, sc_id, q_node order by r, dist, t_node) = 1),
+con as (
+  select event, near.sc_id, round(avg(case when dist = 0 then 1.0 else 0.0 end), 6) as buriedness, round(max(1 / (layer + 1)), 6) as depth
+  from near join v_nodes t on t.entity = near.sc_id and t.node = t_node group by event, near.sc_id)"""
+
+
+def _contained(spark, d):
+    n = B.nodes(spark, d)
+    query_set, target = n.withColumnRenamed("entity", "event"), n.withColumnRenamed("entity", "sc_id")
+    ways = n.where("is_end").groupBy(F.col("entity").alias("sc_id")).agg(*[F.avg(c).alias(c) for c in "xyz"])
+    pairs = assign.by_direction(events.directions(query_set, ["event"]), ways, 1.5707963267948966)
+    dist = G.relaxed_distance(_xyz("q"), _xyz("t"), *[F.col(c) for c in ("q_radius", "t_radius", "q_rmsf", "t_rmsf")])
+    near = events.nearest_nodes(query_set, target, pairs, ["event"], "sc_id", dist, 6)
+    depths = n.select(F.col("entity").alias("sc_id"), "node", (1 / (F.col("layer") + 1)).alias("depth"))
+    return rounded(events.containment(near, depths, ["event"], "sc_id"), ["buriedness", "depth"])
+
+
+@query(CONTAINED_SQL + " select * from con")
+def event_containment(spark, d):
+    """Buriedness and depth of each event in each supercluster that lies in its direction."""
+    return _contained(spark, d)
+
+
+ASSIGN_SQL = CONTAINED_SQL + """, b as (select *, max(buriedness) over (partition by event) as best from con),
+k as (select * from b where best >= 0.3 and buriedness >= best - 0.05), w as (select * from k qualify depth = max(depth) over (partition by event))
+select e.event, w.sc_id, w.buriedness, w.depth from (select distinct event from con) e left join w on w.event = e.event"""
 
 
 @query(ASSIGN_SQL)
 def event_assignment(spark, d):
-    n = B.nodes(spark, d)
-    c = n.groupBy(F.col("entity").alias("event"), (F.col("layer") % 12).alias("sc_id")).agg((F.round(F.avg("radius"), 6) / 2).alias("buriedness"), F.round(F.max("rmsf"), 6).alias("depth"))
-    return assign.assign_events(c, ["event"], cutoff=0.6)
+    """The superclusters through which each event went, by containment."""
+    return assign.assign_events(_contained(spark, d), ["event"], cutoff=0.3)
 
 
 @query("""select md_traj, row_id from bottlenecks
