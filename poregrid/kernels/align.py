@@ -87,13 +87,3 @@ def translation(offset) -> np.ndarray:
     matrix = np.eye(4)
     matrix[:3, 3] = offset
     return matrix
-
-
-def global_transforms(own: dict[str, np.ndarray], starts: dict[str, np.ndarray], orientation: np.ndarray) -> dict[str, np.ndarray]:
-    """For each simulation the transform that superposes it, moves the mean starting point to the origin, and turns it.
-
-    ``own``: superposition of each simulation on the reference; ``starts``: its mean starting point.
-    """
-    moved = [(own[k] @ np.append(starts[k], 1.0))[:3] for k in sorted(starts)]
-    centre = translation(-np.mean(moved, axis=0))
-    return {k: orientation @ centre @ m for k, m in own.items()}

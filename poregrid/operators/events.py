@@ -13,6 +13,7 @@ from poregrid.functions.geometry import layer, node_label, norm, squeeze
 from poregrid.kernels import paths as P
 from poregrid.operators import nodes as N
 from poregrid.operators import traces
+from poregrid.session import materialize
 
 POINT = ("x", "y", "z")
 NODE = ("node", "layer", *POINT, "radius", "rmsf", "is_end")
@@ -93,10 +94,10 @@ def extract(points: DataFrame, keys: Sequence[str], ligand_radius: float = 1.0,
     ``ord`` counts from the inner end, so an entry runs backwards; the outermost point ``is_end``. Events
     of a single point are left out. ``search`` adds the overlapping way to the origin.
     """
-    parts = segments(points, keys, min_distance)
+    parts = materialize(segments(points, keys, min_distance), "segments")  # read for the events, their extension and the search
     longer = extended(parts, keys)
     if search:
-        longer = connected(longer, parts, keys, ligand_radius)
+        longer = connected(materialize(longer, "extended"), parts, keys, ligand_radius)
     key = [*keys, "event_type"]
     several = longer.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*key))).where("_n > 1").drop("_n")
     return _ordered(several, key)

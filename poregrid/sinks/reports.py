@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 AXES = (("X", "x"), ("Y", "y"), ("Z", "z"), ("distance", "dist"), ("length", "len"), ("R", "r"))
@@ -17,6 +17,19 @@ def write_stage(df: DataFrame, path: str, partition: str | None = "md_label", ov
     (writer.partitionBy(partition) if partition else writer).parquet(path)
 
 
+def stage_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a stage's table was written to the end."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return bool(at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at))
+
+
+def remove_stages(spark: SparkSession, folder: str, stages: Sequence[str]) -> None:
+    """Deletes the tables of ``stages`` below ``folder`` and nothing else."""
+    for stage in stages:
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{stage}")
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def profile_lines(tunnels: DataFrame) -> DataFrame:
     """``sc_id, line``: seven lines a tunnel, in the order of the axes."""
     values = lambda n: F.array_join(F.transform("spheres", lambda s: s[n].cast("string")), ",")
@@ -64,14 +77,22 @@ FORMATS = {
 }
 
 
-def statistics_report(props: DataFrame, preamble: Sequence[str] = (), most: int = 1_000_000) -> str:
-    """A padded table of one row per supercluster in order of priority; a missing figure is ``-``."""
+def statistics_report(props: DataFrame, preamble: Sequence[str] = (), most: int = 1_000_000, outliers: dict[str, int] | None = None) -> str:
+    """A padded table of one row per supercluster in order of priority; a missing figure is ``-``.
+
+    ``outliers``: numbers of the events that belong to none, on a last line below their columns.
+    """
     columns = [c for c in FORMATS if c in props.columns]
     rows = props.orderBy(F.desc("priority"), F.desc("sc_id")).select(*columns).limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"more than {most} superclusters in a report")
     cells = [[FORMATS[c].format(r[c]) if r[c] is not None else "-" for c in columns] for r in rows]
     widths = [max(len(x) for x in col) for col in zip(columns, *cells)]
+    if outliers is not None:
+        at = [c for c in columns if c in outliers]
+        head = "events of no supercluster"
+        cells.append([head if k == 0 else str(outliers[c]) if c in at else "" for k, c in enumerate(columns)])
+        widths = [max(w, len(x)) for w, x in zip(widths, cells[-1])]
     table = [", ".join(x.rjust(w) for x, w in zip(row, widths)) for row in [columns, *cells]]
     return "\n".join([*preamble, *table]) + "\n"
 
@@ -84,6 +105,28 @@ def residue_report(freq: DataFrame) -> DataFrame:
     return got.select("sc_id", F.when(F.size("i") > 0, text).otherwise("---").alias("line"))
 
 
+def cluster_details(membership: DataFrame) -> DataFrame:
+    """``sc_id, line``: of each supercluster the number of simulations and clusters, and the clusters of each simulation."""
+    per = membership.groupBy("sc_id", "md_label").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list("cluster_id")), lambda c: c.cast("string")), ", ").alias("ids"))
+    items = F.transform(F.array_sort(F.collect_list(F.struct("md_label", "ids"))), lambda s: F.concat(F.lit("from "), s.md_label, F.lit(": "), s.ids))
+    head = F.concat(F.lit("simulations "), F.count(F.lit(1)).cast("string"), F.lit(", clusters "), F.sum("n").cast("string"), F.lit("; "))
+    return per.groupBy("sc_id").agg(F.concat(head, F.array_join(items, "; ")).alias("line"))
+
+
+def event_details(assigned: DataFrame) -> DataFrame:
+    """``sc_id, event_type, md_label, n_events, line``: the events of each simulation, in order."""
+    number = "path_no" if "path_no" in assigned.columns else "path_id"
+    ids = F.transform(F.array_sort(F.collect_list(number)), lambda c: c.cast("string"))
+    return assigned.groupBy("sc_id", "event_type", "md_label").agg(F.count(F.lit(1)).alias("n_events"), F.array_join(ids, ", ").alias("line"))
+
+
+def match_lines(found: DataFrame, event: Sequence[str]) -> DataFrame:
+    """``event columns, frame, line``: the table of matches of an event, a line for each frame with a tunnel."""
+    shown = ["x", "y", "z", "dist", "tunnel_cluster", "sphere_x", "sphere_y", "sphere_z", "sphere_r"]
+    cells = [F.format_string("%d", "frame"), *[F.format_string("%d", c) if c == "tunnel_cluster" else F.format_string("%.3f", c) for c in shown]]
+    return found.select(*event, "frame", F.concat_ws(", ", *cells).alias("line"))
+
+
 def structure_lines(nodes: DataFrame) -> DataFrame:
     """``entity, line``: nodes as fixed-width atom records (the layer as residue number, the radius as B factor)."""
     number = F.col("node_no").cast("int")
@@ -101,3 +144,24 @@ def export_ranked(tunnels: DataFrame, ranks: DataFrame, path: str, overwrite: bo
     bare = lines.withColumn("line", F.expr("substring(line, instr(line, ',') + 1)"))  # without the leading simulation
     spread = bare.repartition("md_label", "snapshot").sortWithinPartitions("md_label", "snapshot", "cluster_id", "tunnel_id", "k")
     spread.select("md_label", "line").write.mode("overwrite" if overwrite else "errorifexists").partitionBy("md_label").text(path)
+
+
+def renumbered_bottlenecks(rows: DataFrame, tunnels: DataFrame, ranks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Bottlenecks of the ranked clusters under their new numbers, and the exported tunnels that have no bottleneck.
+
+    Both are matched by simulation, snapshot, cluster and tunnel.
+    """
+    key = ["md_label", "snapshot", "cluster_id", "tunnel_id"]
+    wanted = tunnels.select(*key).distinct().join(ranks.select("md_label", "cluster_id", "new_id"), ["md_label", "cluster_id"])
+    matched = rows.join(wanted, key).withColumn("cluster_id", F.col("new_id")).drop("new_id")
+    return matched, wanted.join(rows.select(*key), key, "left_anti")
+
+
+def export_bottlenecks(rows: DataFrame, tunnels: DataFrame, ranks: DataFrame, path: str, overwrite: bool = False) -> DataFrame:
+    """Writes the bottlenecks of the ranked clusters, one folder per simulation; returns the tunnels that have none."""
+    matched, missing = renumbered_bottlenecks(rows, tunnels, ranks)
+    lines = bottleneck_lines(matched.withColumn("sc_id", F.lit(0)))
+    bare = lines.withColumn("line", F.expr("substring(line, instr(line, ',') + 1)"))
+    spread = bare.repartition("md_label", "snapshot").sortWithinPartitions("md_label", "snapshot", "cluster_id", "tunnel_id")
+    spread.select("md_label", "line").write.mode("overwrite" if overwrite else "errorifexists").partitionBy("md_label").text(path)
+    return missing
