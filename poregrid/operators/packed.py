@@ -30,6 +30,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -138,11 +139,15 @@ def _bitmap(candidates: DataFrame) -> bytearray:
     return bits
 
 
+def _hit(bits: bytes, code: int) -> bool:
+    # buckets are numbered from 1 and hold 32,768 bits from bit 0 on, as bitmap_bucket_number has it; bucket 0 has but one bit
+    at = code % BITMAP_BITS
+    bit = at - 1 + 32768 if at else 0
+    return bool(bits[bit >> 3] >> (bit & 7) & 1)
+
+
 def _has(bits: bytes, key: str) -> bool:
-    # buckets are numbered from 1 and hold 32,768 bits from bit 0 on, as bitmap_bucket_number has it
-    at = zlib.crc32(key.encode()) % BITMAP_BITS
-    bucket, bit = (at - 1) // 32768 + 1 if at else 0, (at - 1) % 32768 if at else 0
-    return bool(bits[bucket * 4096 + bit // 8] >> (bit % 8) & 1)
+    return _hit(bits, zlib.crc32(key.encode()))
 
 
 class Lattice:
@@ -230,7 +235,8 @@ _RUN_TYPE = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("key", pa
 
 def _ambiguous(fields: DataFrame, candidates: DataFrame) -> DataFrame:
     """``fid, f, n, runs``: the distinct fields in which candidates stand unquoted, and where."""
-    sizes = sorted(r.size for r in candidates.select("size").distinct().collect())
+    sizes = {r.size for r in candidates.select("size").distinct().collect()}
+    most = max(sizes)
     shared = fields.sparkSession.sparkContext.broadcast(bytes(_bitmap(candidates)))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,13 +245,15 @@ def _ambiguous(fields: DataFrame, candidates: DataFrame) -> DataFrame:
             rows = []
             for field in batch.column(0).to_pylist():
                 texts, between, quoted = slots(field)
-                kinds = [_kind(g) for g in between]
+                coded, gaps = [t.encode() for t in texts], [_kind(g).encode() for g in between]
                 runs = []
-                for size in sizes:
-                    for i in range(len(texts) - size + 1):
-                        key = texts[i] + kinds[i] + texts[i + 1] if size == 2 else _key(texts[i : i + size], kinds[i : i + size - 1])
-                        if _has(bits, key) and True not in quoted[i : i + size]:
-                            runs.append({"a": i, "b": i + size - 1, "key": key})
+                for i, text in enumerate(coded):
+                    code, size = zlib.crc32(text), 1
+                    # the hash of a run goes on from that of the run one slot shorter
+                    for k in range(i, min(i + most - 1, len(gaps))):
+                        code, size = zlib.crc32(gaps[k] + coded[k + 1], code), size + 1
+                        if size in sizes and _hit(bits, code) and True not in quoted[i : i + size]:
+                            runs.append({"a": i, "b": i + size - 1, "key": _key(texts[i : i + size], between[i : i + size - 1])})
                 if runs:
                     rows.append((field, runs))
             yield _batch(rows, ["f", "runs"], [pa.string(), _RUN_TYPE])
@@ -338,7 +346,9 @@ def literal_runs(fields: DataFrame, max_rounds: int = 12) -> DataFrame | None:
 
 def _values(field: str, joined: list[dict] | None) -> list[str]:
     texts, between, _ = slots(field)
-    for run in reversed(joined or []):
+    if not joined:
+        return texts
+    for run in reversed(joined):
         a, b = run["a"], run["b"]
         texts[a : b + 1] = ["".join(t + g for t, g in zip(texts[a : b + 1], [*between[a:b], ""]))]
         del between[a:b]
@@ -365,18 +375,17 @@ def unpack(
     picked = [F.col(c).alias(f"k{i}") for i, c in enumerate(names)]
     source = spread_rows(df.select(F.col(field_col).alias("f"), *picked).where(F.trim(F.col("f")) != ""))
     joined = literal_runs(source.select("f"), max_rounds)
-    if joined is None:
-        rows = source.withColumn("joined", F.lit(None).cast("array<struct<a:int,b:int>>"))
-    else:
-        rows = source.join(joined, "f", "left")
-    rows = rows.select("f", "joined", *[f"k{i}" for i in range(len(names))])
+    rows = source if joined is None else source.join(joined, "f", "left")
+    rows = rows.select("f", *[f"k{i}" for i in range(len(names))], *([] if joined is None else ["joined"]))
+    several = joined is not None
     result = [id_col, "pos", out, *keep]
     types = {c: df.schema[c].dataType.simpleString() for c in names}
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pos, values, took = [], [], []
-            for row, (field, runs) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+            found = batch.column(batch.num_columns - 1).to_pylist() if several else repeat(None)
+            for row, (field, runs) in enumerate(zip(batch.column(0).to_pylist(), found)):
                 if every_delimiter_parts:
                     runs = None
                 for k, text in enumerate(_values(field, runs), 1):
@@ -385,7 +394,7 @@ def unpack(
                         pos.append(k)
                         values.append(text)
             at = pa.array(took, pa.int64())
-            kept = [batch.column(2 + i).take(at) for i in range(len(names))]
+            kept = [batch.column(1 + i).take(at) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays([kept[0], pa.array(pos, pa.int32()), pa.array(values, pa.string()), *kept[1:]], result)
 
     schema = ", ".join(f"`{c}` {t}" for c, t in [(id_col, types[id_col]), ("pos", "int"), (out, "string"), *[(c, types[c]) for c in keep]])
