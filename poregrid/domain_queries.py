@@ -170,10 +170,10 @@ def time_evolution(spark, d):
     return profiles.time_evolution(b, b.select("sc_id", "md_label").distinct(), "bottleneck_radius", B.SNAPSHOTS, B.OFFSET, -1.0)
 
 
-def _residues(spark, d):
+def _residues_of(spark, d, keys):
     rows = table(spark, d, "bottlenecks").where(F.col("md_traj").isNotNull() & (F.col("tunnel_cluster") > 0))
-    single = packed.unpack(rows, "row_id", "bottleneck_residues", "residue", keep=("tunnel_cluster",), every_delimiter_parts=True)
-    return single.select("tunnel_cluster", "residue"), rows.select("row_id", "tunnel_cluster")
+    single = packed.unpack(rows, "row_id", "bottleneck_residues", "residue", keep=keys, every_delimiter_parts=True)
+    return single.select(*keys, "residue"), rows.select(*keys)
 
 
 RESIDUES = """
@@ -183,7 +183,7 @@ totals as (select tunnel_cluster, count(*) as total from bn group by all)"""
 
 @query("P5:" + RESIDUES + " select tunnel_cluster, residue, round(n / total, 6) as freq from hits join totals using (tunnel_cluster)")
 def residue_frequency(spark, d):
-    residues, rows = _residues(spark, d)
+    residues, rows = _residues_of(spark, d, ("tunnel_cluster",))
     return rounded(profiles.residue_frequency(residues, rows, ["tunnel_cluster"]), ["freq"])
 
 
@@ -703,10 +703,13 @@ def pathset_distance(spark, d):
 
 
 def queries() -> dict[str, Query]:
+    from poregrid import detail_queries  # noqa: F401  (adds its queries here)
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from poregrid import detail_queries  # noqa: F401
     from poregrid.queries import P5_FOUND
 
     p5 = f"with p5 as ({P5_FOUND}), bn as (select * from bottlenecks where md_traj is not null and tunnel_cluster > 0),"

@@ -123,6 +123,15 @@ def orphans(bottlenecks: DataFrame, tunnels: DataFrame, key: Sequence[str]) -> D
     return bottlenecks.join(tunnels.select(*key).distinct(), list(key), "left_anti")
 
 
+def strict_join(bottlenecks: DataFrame, tunnels: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Bottlenecks joined to their tunnels; one without a tunnel is an error."""
+    own = tunnels.withColumn("_t", F.lit(True))
+    joined = bottlenecks.join(own, list(key), "left")
+    text = F.concat(F.lit("bottleneck without a tunnel: "), F.concat_ws(" ", *[F.col(k).cast("string") for k in key]))
+    checked = F.when(F.col("_t"), True).otherwise(F.raise_error(text).cast("boolean"))
+    return joined.where(checked).drop("_t")
+
+
 def mean_start(points: DataFrame, key: str, axes: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """Mean starting point of each simulation, and the unweighted mean of these."""
     per = points.groupBy(key).agg(*[F.avg(a).alias(a) for a in axes])

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from poregrid.functions.geometry import layer, node_label, norm, squeeze
 from poregrid.kernels import paths as P
 from poregrid.operators import nodes as N
-from poregrid.operators import traces
+from poregrid.operators import filters, traces
 from poregrid.session import materialize
 
 POINT = ("x", "y", "z")
@@ -99,8 +99,7 @@ def extract(points: DataFrame, keys: Sequence[str], ligand_radius: float = 1.0,
     if search:
         longer = connected(materialize(longer, "extended"), parts, keys, ligand_radius)
     key = [*keys, "event_type"]
-    several = longer.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*key))).where("_n > 1").drop("_n")
-    return _ordered(several, key)
+    return _ordered(filters.several_points(longer, key), key)
 
 
 def _ordered(points: DataFrame, key: Sequence[str]) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, fields
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from poregrid.session import all_of
@@ -117,3 +118,36 @@ def prune_events(segments: DataFrame, cutoff: float) -> DataFrame:
     pairs = F.array(*[F.struct(F.lit(t).alias("event_type"), F.col(t).alias("min_dist")) for t in ("entry", "release")])
     long = least.select("path", inside.alias("inside_min"), F.explode(pairs).alias("e")).select("path", "inside_min", "e.*")
     return long.where(F.col("min_dist").isNotNull() & ~((F.col("inside_min") >= cutoff) & (F.col("min_dist") >= cutoff)))
+
+
+def sub_cluster(tunnels: DataFrame, f: Filters, snapshots: Sequence[int] | None = None) -> DataFrame:
+    """Tunnels that pass the filters, of all or of some snapshots."""
+    kept = tunnels.where(tunnel_passes(f))
+    return kept if snapshots is None else kept.where(F.col("snapshot_id").isin(list(snapshots)))
+
+
+def several_points(points: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The points of events that have more than one."""
+    return points.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys))).where("_n > 1").drop("_n")
+
+
+def approx_equal(one: DataFrame, two: DataFrame, keys: Sequence[str], atol: float = 1e-3) -> DataFrame:
+    """``keys, reason`` of the rows in which two tables differ: absent from one, or a number off by more than ``atol``, or another text.
+
+    Nulls and NaN are equal to themselves. Repeated keys are compared by their number.
+    """
+    values = [c for c in one.columns if c not in keys]
+    kinds = dict(one.dtypes)
+    a = one.groupBy(*keys).agg(F.count(F.lit(1)).alias("_na"), *[F.min(c).alias(f"_a{i}") for i, c in enumerate(values)])
+    b = two.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nb"), *[F.min(c).alias(f"_b{i}") for i, c in enumerate(values)])
+    b = b.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[c for c in b.columns if c not in keys])
+    joined = a.join(b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], "full_outer")
+    reason = F.when(F.col("_na").isNull(), "only in the second").when(F.col("_nb").isNull(), "only in the first").when(F.col("_na") != F.col("_nb"), "another number of rows")
+    for i, c in enumerate(values):
+        x, y = F.col(f"_a{i}"), F.col(f"_b{i}")
+        same = x.eqNullSafe(y)
+        if kinds[c] in ("double", "float", "int", "bigint"):
+            same = same | F.coalesce(F.abs(x - y) <= atol, F.lit(False))
+        reason = reason.when(~same, c)
+    found = joined.select(*[F.coalesce(k, f"_k{i}").alias(k) for i, k in enumerate(keys)], reason.alias("reason"))
+    return found.where("reason is not null")

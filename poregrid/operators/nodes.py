@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from poregrid.functions.geometry import node_label
+from poregrid.functions.geometry import distance, node_label
 from poregrid.operators import skew
 from poregrid.session import materialize
 
@@ -118,3 +118,47 @@ def best_path(paths: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The path that starts in the lowest layer, the shortest of these, then the lowest id."""
     best = F.min(F.struct("first_layer", F.size("nodes").alias("n"), "path_id", "nodes"))
     return paths.groupBy(*keys).agg(best.alias("b")).select(*keys, "b.path_id", "b.nodes")
+
+
+def pool_nodes(points: DataFrame, merged: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Figures of nodes put together from the points of several: ``merged`` maps keys and ``node`` to ``pooled``.
+
+    Points of nodes that are not mapped keep their node.
+    """
+    named = points.join(merged.select(*keys, "node", "pooled"), [*keys, "node"], "left")
+    return node_statistics(named.withColumn("node", F.coalesce("pooled", "node")).drop("pooled"), [*keys, "node"])
+
+
+def distances_to_mean(points: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``keys, min_dist, max_dist, rmsf``: how near and far a node's points are from its mean."""
+    mean = points.groupBy(*keys).agg(*[F.avg(c).alias(f"_m{c}") for c in XYZ])
+    away = distance([F.col(c) for c in XYZ], [F.col(f"_m{c}") for c in XYZ])
+    placed = points.join(mean, list(keys)).select(*keys, away.alias("d"))
+    return placed.groupBy(*keys).agg(F.min("d").alias("min_dist"), F.max("d").alias("max_dist"), F.sqrt(F.avg(F.col("d") * F.col("d"))).alias("rmsf"))
+
+
+def union_sets(*sets: DataFrame) -> DataFrame:
+    """Path sets below each other; sets of tunnels and of events, told apart by ``kind``, may not mix."""
+    whole = sets[0]
+    for more in sets[1:]:
+        whole = whole.unionByName(more)
+    kinds = whole.select("kind").distinct().limit(2).count()
+    if kinds > 1:
+        raise ValueError("path sets of tunnels and of events can't be put together")
+    return whole
+
+
+def distinct_spheres(spheres: DataFrame, columns: Sequence[str] = (*XYZ, "radius")) -> DataFrame:
+    """Each sphere once, by place and radius; nulls are equal."""
+    return spheres.dropDuplicates(list(columns))
+
+
+def end_ids(points: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """``points`` with ``tunnel_no``: how many end points come before a point in its entity."""
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return points.withColumn("tunnel_no", F.coalesce(F.sum(F.col("is_end").cast("int")).over(w), F.lit(0)))
+
+
+def missing_ids(wanted: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys that a stage should have and has not; empty if it is complete."""
+    return wanted.select(*keys).distinct().join(done.select(*keys).distinct(), list(keys), "left_anti")

@@ -116,3 +116,21 @@ def frame_rank(tunnels: DataFrame, frames: int) -> DataFrame:
     got = tunnels.groupBy("md_label", "cluster_id").agg((F.sum("throughput") / F.lit(frames)).alias("priority"))
     # clusters of a simulation, not tunnels: a few thousand rows
     return got.withColumn("new_id", F.row_number().over(Window.partitionBy("md_label").orderBy(F.desc("priority"), "cluster_id")))
+
+
+def property_vector(best: DataFrame, prop: str, keys: Sequence[str] = ("sc_id",)) -> DataFrame:
+    """``keys, values``: a property of all tunnels of a group in order of simulation and snapshot; of as many numbers as snapshots."""
+    item = F.struct("md_label", "snapshot_id", F.col(prop).alias("v"))
+    return best.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(item)), lambda s: s.v).alias("values"))
+
+
+def residue_scopes(residues: DataFrame, rows: DataFrame, cluster: str, md: str, group: str) -> DataFrame:
+    """``scope, label, cluster, residue, freq``: residue frequencies overall, of groups, and of simulations in no group."""
+    out = None
+    for scope, label, keep in (
+        ("overall", F.lit("overall"), F.lit(True)), ("group", F.col(group), F.col(group).isNotNull()), ("md", F.col(md), F.col(group).isNull()),
+    ):
+        own, totals = (df.where(keep).select(F.lit(scope).alias("scope"), label.alias("label"), cluster, *[c for c in ("residue",) if c in df.columns]) for df in (residues, rows))
+        part = residue_frequency(own, totals, ["scope", "label", cluster])
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -51,6 +51,18 @@ def p6_wide(spark: SparkSession, d: str) -> DataFrame:
     return _wide_profiles(spark, d, wide.discover(table(spark, d, "tunnel_profiles"), "axis", "axis_values", _catalog(spark, d)))
 
 
+def p6_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Of every column of the wide rows: in how many tunnels it has numbers, how many, and their sum; axes beyond the catalogue included."""
+    attributes = wide.discover(table(spark, d, "tunnel_profiles"), "axis", "axis_values", _catalog(spark, d))
+    rows = _wide_profiles(spark, d, attributes)
+    arrays = [a for a in attributes if a.value_type.startswith("array<") and a.value_type != "array<string>"]
+    cells = F.array(*[F.struct(F.lit(a.name).alias("axis"), F.col(a.column).cast("array<double>").alias("v")) for a in arrays])
+    long = rows.select(F.explode(cells).alias("c")).where(F.col("c.v").isNotNull())
+    numbers = F.filter("c.v", lambda v: v.isNotNull())
+    total = F.aggregate(numbers, F.lit(0.0), lambda acc, v: acc + v)
+    return long.groupBy(F.lower("c.axis").alias("axis")).agg(F.count(F.lit(1)).alias("n_tunnels"), F.sum(F.size(numbers)).alias("n_numbers"), F.round(F.sum(total), 3).alias("total"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """The required axes that a tunnel lacks."""
     attributes = wide.discover(table(spark, d, "tunnel_profiles"), "axis", "axis_values", _catalog(spark, d))
@@ -105,16 +117,28 @@ left join last_ l on l.md_traj = t.md_traj and l.snapshot_no = t.snapshot_no and
 where l.has_number is null or not l.has_number
 """
 
+P6_CELLS = r"""
+with lines as (
+  select md_traj, cast(regexp_extract(snapshot, '([0-9]+)[^0-9]*\.pdb', 1) as int) as snapshot_no, tunnel_cluster, tunnel,
+         regexp_replace(lower(axis), '^[\s[:punct:]]+|[\s[:punct:]]+$', '', 'g') as axis, axis_values, loaded_at, line_id
+  from tunnel_profiles),
+last_ as (
+  select *, list_filter(list_transform(string_split(coalesce(axis_values, ''), ','), lambda c: try_cast(trim(c) as double)), lambda v: v is not null and isfinite(v)) as v
+  from lines qualify row_number() over (partition by md_traj, snapshot_no, tunnel_cluster, tunnel, axis order by loaded_at desc, line_id desc) = 1)
+select axis, count(*) as n_tunnels, sum(len(v)) as n_numbers, round(sum(list_sum(v)), 3) as total
+from last_ where axis <> '' and len(v) > 0 group by axis
+"""
+
 
 def queries() -> dict[str, Query]:
     from poregrid import domain_queries
 
-    own: dict[str, Query] = {"p1_found": p1_found, "p1_statistics": p1_statistics, "p5_found": p5_found, "p6_found": p6_found, "p6_wide": p6_wide}
+    own: dict[str, Query] = {"p1_found": p1_found, "p1_statistics": p1_statistics, "p5_found": p5_found, "p6_found": p6_found, "p6_wide": p6_wide, "p6_cells": p6_cells}
     return {**domain_queries.queries(), **own}
 
 
 def oracle_sql() -> dict[str, str]:
     from poregrid import domain_queries
 
-    own = {"p1_found": P1_FOUND, "p1_statistics": P1_STATISTICS, "p5_found": P5_FOUND, "p6_found": P6_FOUND}
+    own = {"p1_found": P1_FOUND, "p1_statistics": P1_STATISTICS, "p5_found": P5_FOUND, "p6_found": P6_FOUND, "p6_cells": P6_CELLS}
     return {**domain_queries.oracle_sql(), **own}

@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
+from poregrid import queries as core
 
 
 @pytest.fixture(scope="module")
@@ -27,10 +28,10 @@ def test_flagship(spark, data_dir):
     assert got.columns == ["sc_id", "priority", "prioritized_id"] and got.count() > 0
 
 
-@pytest.mark.parametrize("name", ["p1_found", "p5_found", "p6_found", "sc_properties_group", "time_evolution", "nearest_node", "exact_match_fraction", "residue_frequency", "event_assignment"])
+@pytest.mark.parametrize("name", sorted(core.oracle_sql()))
 def test_query_equals_sql(spark, sql, data_dir, name):
-    have = entry.queries()[name](spark, data_dir)
-    want = sql.sql(entry.oracle_sql()[name]).df()
+    have = core.queries()[name](spark, data_dir)
+    want = sql.sql(core.oracle_sql()[name]).df()
     columns = sorted(have.columns)
     assert columns == sorted(want.columns)
 
