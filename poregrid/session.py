@@ -53,11 +53,21 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and return a scan of the written table."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/poregrid/{label}-{uuid.uuid4().hex}"
+    path = f"{_own_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/poregrid/{spark.sparkContext.applicationId}"
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Removes the intermediate tables of this application; results that were not written yet are lost with them."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def spread_rows(df: DataFrame) -> DataFrame:
     """``df`` over at least as many partitions as there are cores, for work that takes long over few bytes.
 

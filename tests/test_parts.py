@@ -109,3 +109,14 @@ def test_substitution_matrix(tmp_path):
     path.write_text("# own scores\n   A  C\nA  4 -1\nC -1  9\n")
     score = transforms.read_matrix(str(path))
     assert score("A", "C") == -1 and score("C", "C") == 9
+
+
+def test_intermediate_tables_can_be_removed(spark):
+    from poregrid.session import drop_tables, materialize
+
+    kept = materialize(spark.range(3), "some")
+    assert kept.count() == 3
+    path = kept.inputFiles()[0]
+    drop_tables(spark)
+    assert not reports.stage_exists(spark, path.rsplit("/", 1)[0])
+    assert materialize(spark.range(2), "some").count() == 2
