@@ -12,6 +12,7 @@ import pytest
 import __spark_entry__ as entry
 from poregrid import domain_queries
 from poregrid.kernels import cluster
+from poregrid.operators import packed
 from poregrid.operators.layering import cluster_layer
 from poregrid.plans.pipeline import superclusters_of
 
@@ -41,6 +42,30 @@ def test_copies_of_a_field_do_not_bind_its_residues(spark, data_dir, tmp_path, n
     assert sorted(map(tuple, got.collect())) == sorted(want.itertuples(index=False, name=None))
 
 
+@pytest.mark.parametrize("name", ["p5_found", "residue_frequency", "residue_frequency_scopes", "residue_top"])
+def test_residues_part_by_definition_without_a_model(spark, data_dir, tmp_path, monkeypatch, name):
+    """A pair that also stands quoted parts where it does not, as in SQL, and nothing is learnt to that end."""
+    rows = pq.read_table(f"{data_dir}/bottlenecks.parquet")
+    fields = rows["bottleneck_residues"].to_pylist()
+    for i in range(len(fields)):
+        if i % 3 == 0:
+            fields[i] = f"R{i % 7};221_C, 150_B|S{i % 5}"
+        elif i % 30 == 1:
+            fields[i] = '"221_C, 150_B" / T'
+    at = rows.column_names.index("bottleneck_residues")
+    pq.write_table(rows.set_column(at, "bottleneck_residues", pa.array(fields, pa.string())), tmp_path / "bottlenecks.parquet")
+    pq.write_table(pq.read_table(f"{data_dir}/simulations.parquet"), tmp_path / "simulations.parquet")
+    con = duckdb.connect()
+    for table in ("bottlenecks", "simulations"):
+        con.sql(f"create view {table} as select * from '{tmp_path}/{table}.parquet'")
+    learnt = []
+    monkeypatch.setattr(packed, "literal_runs", lambda *a: learnt.append(a))
+    got = entry.queries()[name](spark, str(tmp_path))
+    want = con.sql(entry.oracle_sql()[name]).df()[got.columns]
+    assert sorted(map(tuple, got.collect())) == sorted(want.itertuples(index=False, name=None))
+    assert not learnt
+
+
 def test_path_sets_that_point_apart_have_a_distance(spark):
     rows = [(cl, "p", k, sign * k * 0.2, 0.0, k * 0.3 * sign, float(k), 1.0, k == 4) for cl, sign in ((1, 1), (2, -1)) for k in range(5)]
     points = spark.createDataFrame(rows, "cl int, path string, ord int, x double, y double, z double, dist double, radius double, is_end boolean")
