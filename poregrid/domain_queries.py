@@ -524,10 +524,13 @@ def _frames(spark, d):
     return e.select("path_row", "event_type", "md_traj", F.explode(F.sequence("frame_b", "frame_e")).alias("frame"))
 
 
-def _near(spark, d):
+def _nearest(spark, d):
     # A frame's ligand is the same for all its events here, so its nearest tunnel is found before events multiply the frames.
-    found = matching.matches(ligand_points(spark, d), tunnel_spheres(spark, d), [], ["md_traj", "frame"], places=6)
-    return _frames(spark, d).join(found, ["md_traj", "frame"]).select("path_row", "event_type", "frame", "dist", "tunnel_cluster", "tunnel")
+    return matching.matches(ligand_points(spark, d), tunnel_spheres(spark, d), [], ["md_traj", "frame"], places=6)
+
+
+def _near(spark, d):
+    return _frames(spark, d).join(_nearest(spark, d), ["md_traj", "frame"]).select("path_row", "event_type", "frame", "dist", "tunnel_cluster", "tunnel")
 
 
 @query(MATCH_SQL + " select path_row, event_type, cast(frame as int) as frame, dist, tunnel_cluster, tunnel from near")
@@ -541,7 +544,7 @@ h as (select path_row, event_type, count(*) filter (dist <= 0.0) as hits, count(
 select f.path_row, f.event_type, round(coalesce(hits / n_frames, 0.0), 6) as of_frames, round(hits / k, 6) as of_tunnel_frames
 from f left join h using (path_row, event_type)""")
 def exact_match_fraction(spark, d):
-    got = matching.fractions(_near(spark, d), _frames(spark, d), ["path_row", "event_type"], 0.0)
+    got = matching.window_fractions(_nearest(spark, d), event_frame_windows(spark, d), ["path_row", "event_type"], ["md_traj"], 0.0)
     return rounded(got, ["of_frames", "of_tunnel_frames"])
 
 

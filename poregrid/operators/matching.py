@@ -12,6 +12,8 @@ from poregrid.operators.traces import match_fractions, nearest_in_frame
 
 #: Columns of the table of matches, as written for each event and supercluster.
 DETAIL = ("frame", "x", "y", "z", "dist", "tunnel_cluster", "sphere_x", "sphere_y", "sphere_z", "sphere_r")
+#: Frames in a block. Windows meet what was found block by block; none is spread into its frames.
+FRAMES = 256
 
 
 def in_sphere_band(point_layer: Column, layers: Column, sphere_layer: Column) -> Column:
@@ -75,3 +77,33 @@ def fractions(found: DataFrame, frames: DataFrame, event: Sequence[str], radius:
     total = frames.groupBy(*event).agg(F.count(F.lit(1)).alias("n_frames"))
     hits = found.groupBy(*event, *within).agg(F.count_if(F.col("dist") <= radius).alias("hits"), F.count(F.lit(1)).alias("k"))
     return hits.join(total, list(event)).select(*event, *within, (F.col("hits") / F.col("n_frames")).alias("of_frames"), (F.col("hits") / F.col("k")).alias("of_tunnel_frames"))
+
+
+def _block(frame: Column) -> Column:
+    return F.floor(frame / FRAMES)
+
+
+def _met(windows: DataFrame, held: DataFrame, key: Sequence[str]) -> DataFrame:
+    """``windows`` with each block ``_k`` of ``held`` that they reach into.
+
+    Spark takes the rows of a window's blocks for as few as its windows, so it must not choose a broadcast by them.
+    """
+    reached = windows.where("frame_b <= frame_e").withColumn("_k", F.explode(F.sequence(_block(F.col("frame_b")), _block(F.col("frame_e")))))
+    return reached.join(held.hint("merge"), [*key, "_k"])
+
+
+def window_fractions(found: DataFrame, windows: DataFrame, event: Sequence[str], key: Sequence[str], radius: float) -> DataFrame:
+    """``of_frames`` and ``of_tunnel_frames`` of each event, as ``fractions`` has them, from windows instead of frames.
+
+    ``found``: key columns, ``frame`` and ``dist``, one row a frame; ``windows``: event and key columns, ``frame_b`` and
+    ``frame_e``, both inclusive. A window that ends before it begins is none; a null key meets nothing.
+    """
+    begin, end, start = F.col("frame_b"), F.col("frame_e"), F.col("_k") * FRAMES
+    held = found.groupBy(*key, _block(F.col("frame")).alias("_k")).agg(F.collect_list("frame").alias("_all"), F.collect_list(F.when(F.col("dist") <= radius, F.col("frame"))).alias("_in"))
+    whole = (begin <= start) & (end >= start + FRAMES - 1)
+    own = [F.when(whole, F.size(c)).otherwise(F.size(F.filter(c, lambda f: f.between(begin, end)))) for c in ("_in", "_all")]
+    hits = _met(windows, held, key).groupBy(*event).agg(F.sum(own[0]).alias("hits"), F.sum(own[1]).alias("k")).where("k > 0")
+    total = windows.where("frame_b <= frame_e").groupBy(*event).agg(F.sum(end.cast("long") - begin + 1).alias("n_frames"))
+    return total.join(hits, list(event), "left").select(
+        *event, F.coalesce(F.col("hits") / F.col("n_frames"), F.lit(0.0)).alias("of_frames"), (F.col("hits") / F.col("k")).alias("of_tunnel_frames")
+    )

@@ -107,3 +107,21 @@ def test_a_tight_bunch_of_many_points_is_a_node():
     weight = np.r_[np.ones(60), 400.0, 300.0]  # two full cells
     labels = cluster_layer(xyz, np.ones(62), weight, False, 1.5)
     assert labels[60] == labels[61] == 1 and (labels[:60] != 1).all()
+
+
+LONG = 600_000_000
+
+
+@pytest.fixture
+def long_windows(spark, monkeypatch):
+    """Ligands found in three frames, and events over far more frames than fit in memory."""
+    found = spark.createDataFrame([("m", 0, 1.0, 3, 1), ("m", 300, -1.0, 4, 1), ("m", LONG, 0.0, 5, 2)], "md_traj string, frame int, dist double, tunnel_cluster int, tunnel int")
+    rows = [(1, "m", "entry", 0, LONG), (2, "m", "entry", 1, 299), (3, "m", "release", 200, 300), (4, "m", "entry", 5, 4), (5, None, "entry", 0, 9)]
+    windows = spark.createDataFrame(rows, "path_row long, md_traj string, event_type string, frame_b int, frame_e int")
+    monkeypatch.setattr(domain_queries.matching, "matches", lambda *a, **k: found)
+    monkeypatch.setattr(domain_queries, "event_frame_windows", lambda *a: windows)
+
+
+def test_fractions_of_windows_that_are_too_long_to_be_spread(spark, data_dir, long_windows):
+    got = {r.path_row: tuple(r)[1:] for r in domain_queries.exact_match_fraction(spark, data_dir).collect()}
+    assert got == {1: ("entry", 0.0, 0.666667), 2: ("entry", 0.0, None), 3: ("release", round(1 / 101, 6), 1.0), 5: ("entry", 0.0, None)}
