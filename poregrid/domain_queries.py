@@ -519,24 +519,16 @@ def ligand_points(spark, d):
     return points.join(mean, "md_traj").select("md_traj", F.col("model_no").alias("frame"), F.lit(0).alias("atom"), *placed)
 
 
-def _frames(spark, d):
-    e = event_frame_windows(spark, d).where("frame_b <= frame_e")
-    return e.select("path_row", "event_type", "md_traj", F.explode(F.sequence("frame_b", "frame_e")).alias("frame"))
-
-
 def _nearest(spark, d):
     # A frame's ligand is the same for all its events here, so its nearest tunnel is found before events multiply the frames.
     return matching.matches(ligand_points(spark, d), tunnel_spheres(spark, d), [], ["md_traj", "frame"], places=6)
 
 
-def _near(spark, d):
-    return _frames(spark, d).join(_nearest(spark, d), ["md_traj", "frame"]).select("path_row", "event_type", "frame", "dist", "tunnel_cluster", "tunnel")
-
-
 @query(MATCH_SQL + " select path_row, event_type, cast(frame as int) as frame, dist, tunnel_cluster, tunnel from near")
 def frame_nearest(spark, d):
     """Event frames joined to the tunnels of the same frame; the nearest sphere to the ligand, of equal ones the last cluster's."""
-    return _near(spark, d)
+    near = matching.in_windows(_nearest(spark, d), event_frame_windows(spark, d), ["md_traj"])
+    return near.select("path_row", "event_type", "frame", "dist", "tunnel_cluster", "tunnel")
 
 
 @query(MATCH_SQL + """, f as (select path_row, event_type, count(*) as n_frames from n group by all),

@@ -92,6 +92,17 @@ def _met(windows: DataFrame, held: DataFrame, key: Sequence[str]) -> DataFrame:
     return reached.join(held.hint("merge"), [*key, "_k"])
 
 
+def in_windows(found: DataFrame, windows: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Each row of ``found`` with each window it lies in: the columns of ``windows`` but for its limits, then the others of ``found``.
+
+    ``found`` holds key columns and ``frame``, few rows a frame; windows as in ``window_fractions``.
+    """
+    own = [c for c in windows.columns if c not in ("frame_b", "frame_e")]
+    held = found.groupBy(*key, _block(F.col("frame")).alias("_k")).agg(F.collect_list(F.struct(*[c for c in found.columns if c not in key])).alias("_in"))
+    inside = F.filter("_in", lambda s: s.frame.between(F.col("frame_b"), F.col("frame_e")))
+    return _met(windows, held, key).select(*own, F.inline(inside))
+
+
 def window_fractions(found: DataFrame, windows: DataFrame, event: Sequence[str], key: Sequence[str], radius: float) -> DataFrame:
     """``of_frames`` and ``of_tunnel_frames`` of each event, as ``fractions`` has them, from windows instead of frames.
 

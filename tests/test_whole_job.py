@@ -125,3 +125,9 @@ def long_windows(spark, monkeypatch):
 def test_fractions_of_windows_that_are_too_long_to_be_spread(spark, data_dir, long_windows):
     got = {r.path_row: tuple(r)[1:] for r in domain_queries.exact_match_fraction(spark, data_dir).collect()}
     assert got == {1: ("entry", 0.0, 0.666667), 2: ("entry", 0.0, None), 3: ("release", round(1 / 101, 6), 1.0), 5: ("entry", 0.0, None)}
+
+
+def test_frames_of_windows_that_are_too_long_to_be_spread(spark, data_dir, long_windows):
+    got = sorted(map(tuple, domain_queries.frame_nearest(spark, data_dir).collect()))
+    first, middle, last = ((0, 1.0, 3, 1), (300, -1.0, 4, 1), (LONG, 0.0, 5, 2))
+    assert got == [(1, "entry", *first), (1, "entry", *middle), (1, "entry", *last), (3, "release", *middle)]
