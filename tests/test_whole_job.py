@@ -11,8 +11,8 @@ import pytest
 
 import __spark_entry__ as entry
 from poregrid import domain_queries
-from poregrid.kernels import cluster
-from poregrid.operators import packed
+from poregrid.kernels import cluster, paths
+from poregrid.operators import packed, superclusters
 from poregrid.operators.layering import cluster_layer
 from poregrid.plans.pipeline import superclusters_of
 
@@ -131,3 +131,36 @@ def test_frames_of_windows_that_are_too_long_to_be_spread(spark, data_dir, long_
     got = sorted(map(tuple, domain_queries.frame_nearest(spark, data_dir).collect()))
     first, middle, last = ((0, 1.0, 3, 1), (300, -1.0, 4, 1), (LONG, 0.0, 5, 2))
     assert got == [(1, "entry", *first), (1, "entry", *middle), (1, "entry", *last), (3, "release", *middle)]
+
+
+def random_path_set(rng, start: bool) -> paths.PathSet:
+    layers = np.repeat(np.arange(rng.integers(1, 7)), 2) + (rng.random() < 0.3) * 3
+    labels = [f"{layer}_{k % 2 + 1}" for k, layer in enumerate(layers)]
+    data = np.column_stack([rng.normal(0, 4, (len(layers), 3)), layers, rng.random(len(layers)) < 0.3, rng.uniform(0.5, 2, len(layers)), rng.uniform(0, 8, len(layers))])
+    ways = [sorted(rng.choice(len(labels), rng.integers(1, len(labels) + 1), replace=False)) for _ in range(rng.integers(1, 4))]
+    found = [[paths.START] * start + [labels[k] for k in way] for way in ways]
+    if start:
+        labels, data = [paths.START, *labels], np.vstack([[0.0, 0.0, 0.0, -1.0, 0.0, 0.5, 0.0], data])
+    return paths.PathSet(labels, data, found)
+
+
+@pytest.mark.parametrize("kind", [0, 1, 2])
+@pytest.mark.parametrize("exact", [True, False])
+def test_distances_of_chunks_equal_those_of_pairs(kind, exact):
+    rng = np.random.default_rng(kind)
+    sets = [random_path_set(rng, k % 3 > 0) for k in range(24)]
+    held = [paths.packed(s) for s in sets]
+    got = np.full((24, 24), np.nan)
+    for at, one in paths.chunks(held, 40):
+        for to, two in paths.chunks(held, 90):
+            part = paths.chunk_distances(one, two, kind, 0.5, exact)
+            got[at : at + part.shape[0], to : to + part.shape[1]] = part
+    want = np.array([[paths.set_distance(a, b, kind, 0.5, exact) for b in sets] for a in sets])
+    assert np.abs(got - want).max() < 1e-12 and (exact or (want == paths.FAR).any())
+
+
+def test_distances_of_all_pairs_come_without_a_linkage(spark, data_dir, monkeypatch):
+    monkeypatch.setattr(superclusters, "link", None)
+    n = domain_queries.pathset_distance(spark, data_dir)
+    got = n.selectExpr("count(*)", "count(distinct i, j)", "count_if(i < j)", "max(j) + 1", "count_if(dist is null)").first()
+    assert got[0] == got[1] == got[2] == got[3] * (got[3] - 1) // 2 and got[4] == 0
