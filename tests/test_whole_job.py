@@ -2,6 +2,7 @@
 
 import glob
 import os
+import time
 
 import duckdb
 import numpy as np
@@ -164,3 +165,35 @@ def test_distances_of_all_pairs_come_without_a_linkage(spark, data_dir, monkeypa
     n = domain_queries.pathset_distance(spark, data_dir)
     got = n.selectExpr("count(*)", "count(distinct i, j)", "count_if(i < j)", "max(j) + 1", "count_if(dist is null)").first()
     assert got[0] == got[1] == got[2] == got[3] * (got[3] - 1) // 2 and got[4] == 0
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_complete_linkage_of_ranks_equals_that_of_pairs(seed):
+    rng = np.random.default_rng(seed)
+    n = int(rng.integers(2, 90))
+    d = np.round(cluster.square_distances(rng.uniform(0, 3, (n, 2))), (1, 2, 4, 9)[seed])  # many are equal
+    i, j = np.nonzero(np.triu(d <= 1.0, 1))
+    want = cluster.sparse_linkage(n, list(zip(i.tolist(), j.tolist(), d[i, j].tolist())), 1.0, "complete")
+    assert (cluster.dense_complete(n, [(i[:9], j[:9], d[i, j][:9]), (i[9:], j[9:], cluster.short(d[i, j][9:]))]) == want).all()
+
+
+def test_spanning_pairs_connect_the_same():
+    rng = np.random.default_rng(5)
+    i, j = rng.integers(0, 4_000, (2, 1_500))
+    i, j = np.r_[i, np.arange(5_000, 5_999)], np.r_[j, np.arange(5_001, 6_000)]  # and a long chain
+    a, b = cluster.spanning(i, j)
+    assert len(a) < len(np.unique(np.r_[i, j]))
+    lows = dict(zip(a.tolist(), b.tolist()))
+    low = lambda v: lows.get(v, v)
+    assert all(low(p) == low(q) and low(p) <= p for p, q in zip(i.tolist(), j.tolist())) and {lows[v] for v in range(5_001, 6_000)} == {5_000}
+
+
+def test_one_dense_component_is_linked_in_time(spark):
+    """Twelve hundred sets, all pairs near: one task's group of 719,400 pairs."""
+    n = 1_200
+    pairs = spark.range(n).selectExpr("id i").crossJoin(spark.range(n).selectExpr("id j")).where("i < j").selectExpr("i", "j", "round(abs(i % 40 - j % 40) / 20, 4) dist")
+    began = time.time()
+    rows = superclusters.link(pairs, spark.range(n).withColumnRenamed("id", "no"), 0.0, "complete").collect()
+    assert {(r.no % 40, r.sc_id) for r in rows} == {(k, k + 1) for k in range(40)}
+    rows = superclusters.link(pairs, spark.range(n).withColumnRenamed("id", "no"), 2.0, "complete").collect()
+    assert {r.sc_id for r in rows} == {1} and time.time() - began < 60
